@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets
+from . import exact_dedup, mixing, quality_gam, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", F.col("_mix_copy").alias("copy"), F.round("_mix_rate", 9).alias("rate"), F.col("_mix_key").alias("shuffle_key"))
@@ -21,12 +27,22 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op2_mixing": op2_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_secrets": op10_secrets}
+    return {
+        "op1_token_files": op1_token_files,
+        "op2_mixing": op2_mixing,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_quality": op9_quality,
+        "op10_secrets": op10_secrets,
+    }
 
 
 OP2 = """
