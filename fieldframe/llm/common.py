@@ -62,6 +62,10 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Shuffle files of a table that is written can go: the table is what later steps read. Set for the write alone.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables of one run in the shared folder. They cut lineage and outlive lost executors."""
 
@@ -73,7 +77,12 @@ class Scratch:
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.options(**options).parquet(path)
+        before = self.spark.conf.get(CLEAN, "false")
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -233,11 +242,11 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
     for turn in range(1, 100):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         # small-star: what a points at, all smaller than a, is pointed at the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = large.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         small = small.where("a <> b").distinct()
         links = scratch.table(small, f"{name}-{turn}")
         before, state = state, _print(links)

@@ -117,51 +117,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # classes of equal sets
     same = scratch.table(some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = some.join(same.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = scratch.table(reps.select("doc_id", "n_shingles", *SIGNATURE, "bands"), "reps")
 
     keys = reps.select("doc_id", F.explode("bands").alias("band"))
     buckets = keys.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
-    members = scratch.table(keys.join(buckets, "band"), "members")  # (band, doc_id, first): only buckets of two or more
+    members = scratch.table(keys.join(buckets.hint("merge"), "band"), "members")  # (band, doc_id, first): only buckets of two or more
     candidates = members.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     floor = percent / 100 - SLACK
     links = _confirm(scratch, texts, reps, _likely(candidates, reps, floor), k, percent, "first")
     labels = scratch.table(components(scratch, links, "cc1"), "labels1")
 
     # buckets that span several components
-    known = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", "first", F.coalesce("component", "doc_id").alias("part"))
+    known = members.join(labels.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").select("band", "doc_id", "first", F.coalesce("component", "doc_id").alias("part"))
     heads = known.where("doc_id = first").select("band", F.col("part").alias("head"))
     sig = reps.select("doc_id", *SIGNATURE)
-    placed = known.join(heads, "band").join(sig, "doc_id")
+    placed = known.join(heads.hint("merge"), "band").join(sig.hint("merge"), "doc_id")
     strays = placed.where("part <> head").alias("x")
     # a stray has met the head already; those of the head's component other than the head, and other strays, are left
     rest = placed.where("doc_id <> first").alias("y")
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.head")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & (estimate("x", "y") >= floor)
-    more = strays.join(rest, meet).select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
+    more = strays.join(rest.hint("merge"), meet).select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
     more = _confirm(scratch, texts, reps, more, k, percent, "second")
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = scratch.table(components(scratch, links, "cc2"), "labels2")
 
-    found = same.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component"))
+    found = same.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     rows = sketch.select("doc_id", "n_shingles", "h1", "h2")
-    out = rows.join(found, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.join(found.hint("merge"), ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
     sig = reps.select("doc_id", *SIGNATURE)
-    left = pairs.join(sig.withColumnRenamed("doc_id", "a"), "a").alias("x")
-    return left.join(sig.alias("y"), (F.col("x.b") == F.col("y.doc_id")) & (estimate("x", "y") >= floor)).select("a", "b")
+    left = pairs.join(sig.withColumnRenamed("doc_id", "a").hint("merge"), "a").alias("x")
+    return left.join(sig.alias("y").hint("merge"), (F.col("x.b") == F.col("y.doc_id")) & (estimate("x", "y") >= floor)).select("a", "b")
 
 
 def _confirm(scratch: Scratch, texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """Those of the pairs (a, b) that are similar enough by their full sets, read again from the texts."""
     pairs = scratch.table(pairs, f"pairs-{name}")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = texts.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = scratch.table(wanted.mapInArrow(_sets(k), "doc_id long, set array<long>"), f"sets-{name}")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     both = both.withColumn("common", common).where((F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent))
     out = scratch.table(both.select("a", "b"), f"links-{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash_dedup, mixing, quality_gam, secrets, token_files
+from . import exact_dedup, line_dedup, minhash_dedup, mixing, quality_gam, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_mix_copy").alias("copy"), F.round("_mix_rate", 9).alias("rate"), F.col("_mix_key").alias("shuffle_key"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -43,6 +48,7 @@ def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_mixing": op2_mixing,
+        "op3_line_dedup": op3_line_dedup,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality": op9_quality,
