@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw_scoring, exact_dedup, line_dedup, minhash_dedup, mixing, quality_gam, secrets, token_files
+from . import ctw_scoring, exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality_gam, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_scoring.ctw_scores(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict:
         "op1_token_files": op1_token_files,
         "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
+        "op4_packing": op4_packing,
         "op5_ctw_scoring": op5_ctw_scoring,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_exact_dedup": op8_exact_dedup,
