@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw_scoring, exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality_gam, secrets, token_files
+from . import ctw_scoring, exact_dedup, line_dedup, media, minhash_dedup, mixing, packing, quality_gam, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_scoring.ctw_scores(_table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.image_copies(media.pictures(_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -59,6 +63,7 @@ def queries() -> dict:
         "op3_line_dedup": op3_line_dedup,
         "op4_packing": op4_packing,
         "op5_ctw_scoring": op5_ctw_scoring,
+        "op6_media": op6_media,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality": op9_quality,
