@@ -37,7 +37,7 @@ class Scorer:
 def freshness(timestamp_ms: Column, now_ms: Column, decay_hours: float = 24.0) -> Column:
     """exp(-age in hours / decay); an age below 0 is 0, no timestamp is 0.5."""
     age = F.greatest(now_ms - timestamp_ms, F.lit(0)).cast("double")
-    return F.coalesce(F.exp(-(age / 3600000.0) / F.lit(float(decay_hours))), F.lit(0.5))
+    return F.when(timestamp_ms.isNull(), F.lit(0.5)).otherwise(F.exp(-(age / 3600000.0) / F.lit(float(decay_hours))))
 
 
 def _any_in(source: Column, words: tuple[str, ...]) -> Column:

@@ -36,7 +36,7 @@ def default_ttl_ms(kind: Column) -> Column:
 
 
 def age_ms(timestamp_ms: Column, now_ms: Column) -> Column:
-    return F.greatest(now_ms - timestamp_ms, F.lit(0))
+    return F.when(timestamp_ms.isNotNull(), F.greatest(now_ms - timestamp_ms, F.lit(0)))
 
 
 def is_expired(timestamp_ms: Column, ttl_ms: Column, now_ms: Column) -> Column:
