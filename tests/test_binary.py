@@ -77,13 +77,11 @@ def test_hybrid():
     assert binary.read_frame(bytes([4, 0]) + binary.varint(1) + body) == [(5, "ia", [7, -8])]
 
 
-def test_delta_vector_state_and_stream():
+def test_delta_vector_and_stream():
     ops = [(1, "Set", b"\x01\x05"), (9, "Delete", b"")]
     assert binary.read_delta(binary.write_delta(ops)) == ops
     assert binary.read_vector(binary.write_vector([1.0, -2.5])) == [1.0, -2.5]
     assert binary.read_vector_delta(binary.write_vector_delta(3, [(1, 0.5)])) == (3, [(1, 0.5)])
-    state = {"position": [1.0, 2.0, 3.0], "rotation": None, "velocity": [0.5, 0.0, 0.0], "acceleration": None}
-    assert binary.read_state(binary.write_state(state)) == state
     assert binary.read_stream_frame(binary.write_stream_frame("Chunk", b"hello world")) == ("Chunk", b"hello world", 0x037F2975)
 
 
