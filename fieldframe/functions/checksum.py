@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 
 def crc(text: Column) -> Column:
     return F.crc32(text.cast("binary"))
@@ -29,8 +31,15 @@ def field_checksum(fid: Column, hint: Column | None, value: Column) -> Column:
 
 def xor_words(data: Column) -> Column:
     """Exclusive or of the little-endian 32-bit words, the last one filled up with zeros."""
-    hexed = F.hex(data)
-    byte = lambda i: F.coalesce(F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long"), F.lit(0).cast("long"))
-    n = F.ceil(F.octet_length(data) / 4).cast("int")
-    words = F.transform(F.sequence(F.lit(0), n - 1), lambda w: byte(w * 4) + byte(w * 4 + 1) * 256 + byte(w * 4 + 2) * 65536 + byte(w * 4 + 3) * 16777216)
-    return F.when(n > 0, F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))).otherwise(F.lit(0).cast("long"))
+
+    def word(h: Column) -> Column:
+        turned = F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
+        return F.conv(turned, 16, 10).cast("long")
+
+    def fold(d: Column) -> Column:
+        n = F.ceil(F.octet_length(d) / 4).cast("int")
+        words = F.transform(F.sequence(F.lit(0), n - 1), lambda w: let(F.rpad(F.hex(F.substring(d, w * 4 + 1, F.lit(4))), 8, "0"), word))
+        zero = F.lit(0).cast("long")
+        return F.when(n > 0, F.aggregate(words, zero, lambda a, x: a.bitwiseXOR(x))).otherwise(zero)
+
+    return let(data, fold)
