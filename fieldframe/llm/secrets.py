@@ -28,7 +28,7 @@ from .common import pick
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log2 of the guesses from which a value counts as a secret.
-MIN_BITS = 36.0
+MIN_BITS = 40.0
 
 # The contract's patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
