@@ -104,4 +104,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
         items = pick(docs, "doc_id", "source", "text").mapInArrow(_measure, "doc_id long, source string, n long, cluster long")
     shards = max(1, math.ceil(docs.count() / shard))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
-    return items.groupBy("shard").applyInArrow(_pack(capacity), SCHEMA)
+    # rows are few bytes and much work: a number of tasks of its own, or they would be coalesced by their bytes
+    return items.repartition(math.ceil(shards / 8), "shard").groupBy("shard").applyInArrow(_pack(capacity), SCHEMA)
