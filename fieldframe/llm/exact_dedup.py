@@ -96,11 +96,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     ended = []
     for k in range(levels):
         now = reps.select("u", F.col(f"c{k}").alias("c"))
-        now = now.withColumn("g", F.lit(0).cast("long")) if k == 0 else now.join(state, "u")
+        now = now.withColumn("g", F.lit(0).cast("long")) if k == 0 else now.join(state.hint("merge"), "u")
         groups = now.groupBy("g", "c").agg(F.min("u").alias("to"), F.count("*").alias("n")).where("n > 1")
         last = k == levels - 1
         width = F.lit(1 << 62) if last else F.lit(LEVELS[k] - (LEVELS[k - 1] if k else 0))
-        found = now.join(groups.drop("n"), ["g", "c"]).select("u", F.col("to").alias("g"), (F.octet_length("c") < width).alias("done"))
+        found = now.join(groups.drop("n").hint("merge"), ["g", "c"]).select("u", F.col("to").alias("g"), (F.octet_length("c") < width).alias("done"))
         found = scratch.table(found, f"level{k}")
         ended.append(found.where("done").select("u", "g"))
         state = found.where("not done").select("u", "g")
@@ -110,6 +110,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     for more in ended[1:]:
         same = same.unionAll(more)
     same = same.withColumnRenamed("u", "rep")
-    rows = table.select("doc_id", "rep", "sha").join(same, "rep", "left").select("doc_id", "sha", F.coalesce("g", "rep").alias("g"))
+    rows = table.select("doc_id", "rep", "sha").join(same.hint("merge"), "rep", "left").select("doc_id", "sha", F.coalesce("g", "rep").alias("g"))
     groups = rows.groupBy("g").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "g").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return rows.join(groups.hint("merge"), "g").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
