@@ -5,8 +5,9 @@ mean repetition rate w * T / s. Each document's count is that Poisson distributi
 from an MD5 of seed and doc_id, so it depends on nothing but them; the document is exploded by its count, and a second
 MD5 deals all copies to random partitions and orders each one: a global shuffle without a sampling pass.
 
-The table of sources is grouped first (partial sums, so a hot source is no hot task) and joined back; it is never
-collected. Everything is DataFrame code; the text rides along untouched.
+The table of sources is grouped first (partial sums, so a hot source is no hot task), counted, and joined back: up to
+`MOST_BROADCAST` sources it is broadcast, so documents are moved once, by the shuffle; beyond that both sides are merged
+by source, and adaptive execution splits hot ones. Everything is DataFrame code; the text rides along untouched.
 
 Cases: a null source is a source of its own; null and empty texts have size 1; rows that repeat a doc_id get the same
 count; sources that `targets` doesn't name get weight 0 and go; an empty table gives no rows; further columns stay.
@@ -17,7 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import Scratch, pick
+
+#: Sources whose distributions may be broadcast: about a KB each.
+MOST_BROADCAST = 20_000
 
 #: 16^13: 13 hexadecimal digits are exact in a double.
 SPAN = float(16**13)
@@ -61,6 +65,8 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, alpha:
     """Rows of docs, each as often as its Poisson count says, shuffled, with rate, copy (from 0) and shuffle_key."""
     rates = source_rates(pick(docs, "source", "text"), targets, alpha, budget).where("rate > 0")
     rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    rates = Scratch(docs.sparkSession, "mixing").table(rates, "rates")
+    rates = F.broadcast(rates) if rates.count() <= MOST_BROADCAST else rates.hint("merge")
     joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
     u = unit(seed, docs["doc_id"])
     count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
