@@ -30,9 +30,12 @@ from .common import Scratch, pick
 
 SCHEMA = "doc_id long, n_tokens int, local_start long, ids array<int>"
 END_ID = 1
-#: Words that a Python worker remembers; when there are more it starts afresh.
+#: Words that a Python worker remembers in a generation.
 MEMO = 400_000
 
+#: Files whose starts may be broadcast: under 100 bytes each.
+MOST_BROADCAST = 100_000
+
 #: White space to the pre-tokenizer is Unicode's, as str.split has it, but for the separators 1C to 1F.
 NOT_SPACE = re.compile(r"[\S\x1c-\x1f]+")
 
@@ -42,7 +45,7 @@ _tokenizers: dict = {}
 class WordEncoder:
     """ids of whole texts by way of their words. The library decides every word's ids; what is remembered is only the
     outcome for a run of characters between white space, or for its letters and the last comma or stop apart, which
-    the pre-tokenizer splits too."""
+    the pre-tokenizer splits too. Two generations of at most MEMO words each: what is still in use moves on."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,20 +53,34 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ask(self, words: list[str]) -> None:
-        for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        """Words of letters up to U+00FF are one pre-token each, so many of them are one text for the library."""
+        is_plain = lambda w: w.isalpha() and max(w) <= "\xff"
+        plain = [w for w in words if is_plain(w)]
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            e = self.library.encode(" ".join(some), add_special_tokens=False)
+            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            cuts = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
+            for w, a, b in zip(some, cuts, cuts[1:], strict=False):
+                self.memo[w] = ids[a:b].tobytes()
+        rest = [w for w in words if not is_plain(w)]
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
         split = [NOT_SPACE.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         new = {w for words in split for w in words if w not in memo}
-        parts = {w: self._parts(w) for w in new}
+        memo.update({w: old[w] for w in new if w in old})
+        parts = {w: self._parts(w) for w in new if w not in memo}
         ask = {p for ps in parts.values() for p in ps if p not in memo}
-        self._ask(list(ask))
+        memo.update({p: old[p] for p in ask if p in old})
+        self._ask([p for p in ask if p not in memo])
         for w, ps in parts.items():
             if w not in memo:
                 memo[w] = b"".join([memo[p] for p in ps])
@@ -71,8 +88,9 @@ class WordEncoder:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
+        """Letters up to U+00FF have one small letter each and no other normal form."""
         core, stop = (word[:-1], word[-1:]) if word[-1] in ".," else (word, "")
-        if core.isascii() and core.isalpha():
+        if core.isalpha() and max(core) <= "\xff":
             return (core.lower(), stop) if stop else (core.lower(),)
         return (word,)
 
@@ -121,6 +139,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         sums.append((file, before))
         before += total
     starts = spark.createDataFrame(sums or [("", 0)], "file string, before long")
+    # one short row a file; past that many files the ids are merged with it by file
+    starts = F.broadcast(starts) if len(sums) <= MOST_BROADCAST else starts.hint("merge")
     return rows.join(starts, "file").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 

@@ -61,4 +61,4 @@ def test_memo_is_bounded(monkeypatch):
     whole = Tokenizer.from_file(PATH)
     for t in texts:
         assert list(np.frombuffer(e.ids([t])[0], "<u4")) == whole.encode(t, add_special_tokens=False).ids
-        assert len(e.memo) <= 10 + 6
+        assert len(e.memo) <= 10 + 6 and len(e.old) <= 10 + 6
