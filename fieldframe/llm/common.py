@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at a time.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)

@@ -36,7 +36,7 @@ from .common import U64, Scratch, pick, pieces, span_hashes, utf8, word_spans
 
 DEPTH = 5
 #: Bytes of text in a block, about.
-BLOCK = 24 << 20
+BLOCK = 20 << 20
 END = 0xFF
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
