@@ -9,13 +9,15 @@ connected component the first line by (doc_id, line number) stays, all others go
 2. `BANDS` keys of `ROWS` minima each make buckets. A running window pairs each bucket member with the bucket's first
    line and with the one before it; no bucket is held in memory or expanded into all its pairs.
 3. Pairs that agree in enough packed low bits of their minima are verified: the two lines' texts are fetched once, and
-   the exact Jaccard similarity is computed from the shingle sets.
+   the Jaccard similarity is counted from both whole sets of shingles (48-bit hashes of them).
 4. Verified pairs give components by distributed large-star and small-star steps.
-5. Buckets that still span several components are gone through once more, strays against the others.
+5. Buckets that still span several components are gone through once more, strays against the others, each pair in the
+   first bucket that the two share. The join condition holds an estimate from 2 bits of 1024 minima, so only pairs next
+   to the threshold come out and are verified.
 6. A last pass over the texts takes each line's component, keeps the first position of each, and rebuilds documents.
 
-The minima are 24; a band is one of 14 fixed subsets of 5, so a pair at 0.8 is a candidate with probability 0.98, at
-0.85 with 0.998 and at 0.9 with 0.9999.
+The minima are 32; a band is one of 15 fixed subsets of 5, so a pair at 0.8 is a candidate with probability 0.99, at
+0.85 with 0.999 and at 0.9 with 0.9999.
 
 Cases: null and empty texts have no lines to lose and stay as they are; empty lines stay; equal lines within a document
 count as any others; rows that repeat a doc_id hold the same lines at the same places and keep the same ones; an empty
@@ -38,13 +40,14 @@ from .common import U64, Scratch, components, hash_seeds, minima, mix, pick, pie
 SHINGLE = 5
 MIN_CHARS = 10
 PERCENT = 80
-HASHES = 24
+HASHES = 32
 ROWS = 5
-BANDS = 14
+BANDS = 15
 _SUBSETS = np.stack([np.random.default_rng(1000 + b).permutation(HASHES)[:ROWS] for b in range(BANDS)])
-#: Low bits kept of each minimum: 24 x 5 in two longs. A verified pair has to agree in as many of them at least.
-BITS = 5
-AGREE = 11
+#: Low bits kept of the first 12 minima, in one long. A pair has to agree in as many of them at least to be verified.
+BITS, KEPT, AGREE = 5, 12, 4
+#: The finer sketch, and what its estimate may lack: 4.5 standard errors of 1024 matches of 2 bits.
+FINE_HASHES, FINE_SLACK = 1024, 0.067
 
 
 class Lines:
@@ -73,24 +76,37 @@ class Lines:
         up, self.down = powers(len(cp) + 1)
         self.total = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum(low * up[: len(cp)], out=self.total[1:])
-        other = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(mix(low) * up[: len(cp)], out=other[1:])
         use = ends - begins >= max(min_chars, SHINGLE)
         self.row, self.number, self.begin, self.end = rows[use], number[use], begins[use], ends[use]
+        self.h1 = self._hash(self.total)
+        self.low, self.up = low, up
+
+    def _hash(self, total: np.ndarray) -> np.ndarray:
         size = (self.end - self.begin).astype(np.uint64)
-        self.h1 = mix((self.total[self.end] - self.total[self.begin]) * self.down[self.begin] + size)
-        self.h2 = mix((other[self.end] - other[self.begin]) * self.down[self.begin] ^ size)
+        return mix((total[self.end] - total[self.begin]) * self.down[self.begin] + size)
+
+    def second_hash(self) -> np.ndarray:
+        other = np.zeros(len(self.cp) + 1, np.uint64)
+        np.cumsum(mix(self.low) * self.up[: len(self.cp)], out=other[1:])
+        return self._hash(other)
 
     def distinct(self) -> np.ndarray:
-        """One line for each content."""
-        return np.unique(self.h1, return_index=True)[1]
+        """One line for each content, in the order of the text."""
+        return np.sort(np.unique(self.h1, return_index=True)[1])
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shingle hashes of the given lines and their offsets."""
+        """Shingle hashes of the given lines, which follow each other, and their offsets."""
         per = self.end[which] - self.begin[which] - SHINGLE + 1
         offs = np.concatenate([[0], np.cumsum(per)])
-        at = np.arange(offs[-1]) + np.repeat(self.begin[which] - offs[:-1], per)
-        return mix((self.total[at + SHINGLE] - self.total[at]) * self.down[at]), offs
+        n = len(self.cp) - SHINGLE + 1
+        inside = np.zeros(n + 1, np.int8)
+        inside[self.begin[which]] += 1
+        inside[self.end[which] - SHINGLE + 1] -= 1
+        x = (self.total[SHINGLE:] - self.total[:n]) * self.down[:n]
+        x = x[np.cumsum(inside[:n], dtype=np.int8).view(bool)]
+        x ^= x >> U64(32)
+        x *= U64(0xC4CEB9FE1A85EC53)
+        return x, offs
 
     def text(self, i: int) -> str:
         return self.cp[self.begin[i] : self.end[i]].tobytes().decode("utf-32-le")
@@ -102,9 +118,20 @@ def _pieces(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[int, Lines]
         yield i, Lines(batch.column("text")[i:j], min_chars)
 
 
+def _band_keys(lines: Lines, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    least = minima(*lines.shingles(which), seeds)
+    keys = np.empty((len(which), BANDS), np.uint64)
+    for b, cols in enumerate(_SUBSETS):
+        x = np.full(len(which), b + 1, np.uint64)
+        for c in cols:
+            x = mix(x * U64(0x9E3779B97F4A7C15) + least[:, c])
+        keys[:, b] = x
+    return keys.view(np.int64), least
+
+
 def _bands(min_chars: int):
     seeds = hash_seeds(HASHES, 3)
-    shifts = (np.arange(HASHES // 2, dtype=np.uint64) * U64(BITS))[None, :]
+    shifts = (np.arange(KEPT, dtype=np.uint64) * U64(BITS))[None, :]
 
     def bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,17 +139,10 @@ def _bands(min_chars: int):
                 which = lines.distinct()
                 if not len(which):
                     continue
-                least = minima(*lines.shingles(which), seeds)
-                low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64)
-                sig = [np.bitwise_or.reduce(half << shifts, axis=1).view(np.int64) for half in (low[:, : HASHES // 2], low[:, HASHES // 2 :])]
-                keys = np.empty((len(which), BANDS), np.uint64)
-                for b, cols in enumerate(_SUBSETS):
-                    x = np.full(len(which), b + 1, np.uint64)
-                    for c in cols:
-                        x = mix(x * U64(0x9E3779B97F4A7C15) + least[:, c])
-                    keys[:, b] = x
-                keys = keys.view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lines.h1[which].view(np.int64), BANDS)), pa.array(keys), *[pa.array(np.repeat(s, BANDS)) for s in sig]], ["id", "band", "s0", "s1"])
+                keys, least = _band_keys(lines, which, seeds)
+                low = (least[:, :KEPT] & np.uint32((1 << BITS) - 1)).astype(np.uint64)
+                sig = np.bitwise_or.reduce(low << shifts, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lines.h1[which].view(np.int64), BANDS)), pa.array(keys.ravel()), pa.array(np.repeat(sig, BANDS))], ["id", "band", "s0"])
 
     return bands
 
@@ -132,13 +152,19 @@ def _positions(min_chars: int):
         for batch in batches:
             ids = batch.column("doc_id")
             for i, lines in _pieces(batch, min_chars):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lines.row + i)), pa.array(lines.number.astype(np.int32)), pa.array(lines.h1.view(np.int64)), pa.array(lines.h2.view(np.int64))], ["doc_id", "line", "id", "id2"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lines.row + i)), pa.array(lines.number.astype(np.int32)), pa.array(lines.h1.view(np.int64)), pa.array(lines.second_hash().view(np.int64))], ["doc_id", "line", "id", "id2"])
 
     return positions
 
 
-def _texts(min_chars: int, bits: np.ndarray):
+FINE = [f"w{k}" for k in range(FINE_HASHES // 32)]
+
+
+def _texts(min_chars: int, bits: np.ndarray, fine: bool):
+    """Candidate lines; fine: with their bands, number of characters and finer sketch."""
     size = U64(len(bits) * 8 - 1)
+    seeds, more = hash_seeds(HASHES, 3), hash_seeds(FINE_HASHES, 4)
+    shifts = np.arange(32, dtype=np.uint64) * U64(2)
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +172,15 @@ def _texts(min_chars: int, bits: np.ndarray):
                 which = lines.distinct()
                 slot = (lines.h1[which] & size).astype(np.int64)
                 which = which[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.h1[which].view(np.int64)), pa.array([lines.text(i) for i in which], pa.string())], ["id", "line"])
+                cols = {"id": pa.array(lines.h1[which].view(np.int64)), "line": pa.array([lines.text(i) for i in which], pa.string())}
+                if fine and len(which):
+                    keys, _ = _band_keys(lines, which, seeds)
+                    low = (minima(*lines.shingles(which), more) & np.uint32(3)).astype(np.uint64).reshape(len(which), -1, 32)
+                    words = np.bitwise_or.reduce(low << shifts, axis=2).view(np.int64)
+                    cols["bands"] = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                    cols |= {w: pa.array(np.ascontiguousarray(words[:, k])) for k, w in enumerate(FINE)}
+                if len(which):
+                    yield pa.RecordBatch.from_pydict(cols)
 
     return texts
 
@@ -166,73 +200,106 @@ def _bit_map(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _jaccard(min_percent: int):
-    def near(a: str, b: str) -> bool:
-        x, y = ({s[i : i + SHINGLE] for i in range(len(s) - SHINGLE + 1)} for s in (a, b))
-        common = len(x & y)
-        return common * 100 >= (len(x) + len(y) - common) * min_percent
+def _shingle_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes of the shingles of whole strings, and for each the row."""
+    lines = Lines(pc.replace_substring(texts, "\n", " "), 0)
+    values, offs = lines.shingles(np.arange(len(lines.row)))
+    return values >> U64(16), np.repeat(lines.row, np.diff(offs))
+
+
+def _jaccard(percent: int):
+    """Pairs whose sets are similar enough. One sort of (pair, hash) for many pairs at a time: each side's repeats fall
+    away first, then what both have stands twice."""
+
+    def distinct(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        keys = np.sort((rows.astype(np.uint64) << U64(48)) | values)
+        return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        for batch in batches:
-            ok = [near(x.translate(lower), y.translate(lower)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                batch = whole.slice(at, 1024)
+                x, y = (distinct(*_shingle_rows(batch.column(c))) for c in ("x", "y"))
+                both = np.sort(np.concatenate([x, y]))
+                n = lambda keys: np.bincount((keys >> U64(48)).astype(np.int64), minlength=len(batch))  # noqa: E731, B023
+                common = n(both[1:][both[1:] == both[:-1]])
+                yield batch.select(["a", "b"]).filter(pa.array(common * 100 >= (n(x) + n(y) - common) * percent))
 
     return verify
 
 
 def _agree(a: str, b: str) -> Column:
     """Minima whose low bits are equal."""
+    x = F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))
+    folded = x
+    for shift in range(1, BITS):
+        folded = folded.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return KEPT - F.bit_count(folded.bitwiseAND(F.lit(sum(1 << (BITS * i) for i in range(KEPT)))))
+
+
+def _estimate(a: str, b: str) -> Column:
     differ = None
-    for s in ("s0", "s1"):
-        x = F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))
-        folded = x
-        for shift in range(1, BITS):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(x, shift))
-        n = F.bit_count(folded.bitwiseAND(F.lit(sum(1 << (BITS * i) for i in range(HASHES // 2)))))
+    for w in FINE:
+        x = F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))
+        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
         differ = n if differ is None else differ + n
-    return HASHES - differ
+    return ((1 - differ / F.lit(float(FINE_HASHES))) - 0.25) / 0.75
 
 
 def line_classes(scratch: Scratch, docs: DataFrame, min_chars: int = MIN_CHARS, percent: int = PERCENT) -> DataFrame:
     """(id, component) of the lines that are linked to a line with another text."""
     texts = pick(docs, "doc_id", "text")
-    keys = texts.select("text").mapInArrow(_bands(min_chars), "id long, band long, s0 long, s1 long")
+    keys = texts.select("text").mapInArrow(_bands(min_chars), "id long, band long, s0 long")
     by = W.partitionBy("band").orderBy("id")
-    now = F.struct("id", "s0", "s1")
-    walked = keys.select("band", "id", "s0", "s1", F.first(now).over(by.rowsBetween(W.unboundedPreceding, 0)).alias("head"), F.lag(now).over(by).alias("prev"), F.lead("id").over(by).alias("next"))
+    now = F.struct("id", "s0")
+    walked = keys.select("band", "id", "s0", F.first(now).over(by.rowsBetween(W.unboundedPreceding, 0)).alias("head"), F.lag(now).over(by).alias("prev"), F.lead("id").over(by).alias("next"))
     # a line that occurs in several pieces is several times in its buckets: only its first row there counts
     walked = walked.where("(prev is null or prev.id <> id) and (head.id <> id or next <> id)")
-    members = scratch.table(walked.select("band", "id", "s0", "s1", "head", "prev"), "members")
+    members = scratch.table(walked.select("band", "id", "s0", "head", "prev"), "members")
     later = members.where("prev is not null")
     to_head = later.where(_agree("", "head.") >= AGREE).select(F.col("id").alias("a"), F.col("head.id").alias("b"))
     to_prev = later.where("prev.id <> head.id").where(_agree("", "prev.") >= AGREE).select(F.col("id").alias("a"), F.col("prev.id").alias("b"))
-    links = _verify(scratch, texts, to_head.unionAll(to_prev).distinct(), min_chars, percent, "first")
+    pairs = scratch.table(to_head.unionAll(to_prev).distinct(), "pairs")
+    found = scratch.table(_lines(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), min_chars), "lines")
+    links = scratch.table(_verified(pairs, found, percent), "links")
+    scratch.drop("lines")
     labels = scratch.table(components(scratch, links, "cc1"), "labels1")
 
-    known = members.join(labels.hint("merge"), "id", "left").select("band", "id", "s0", "s1", F.col("head.id").alias("first"), F.coalesce("component", "id").alias("part"))
+    known = members.join(labels.hint("merge"), "id", "left").select("band", "id", "s0", F.col("head.id").alias("first"), F.coalesce("component", "id").alias("part"))
     heads = known.where("id = first").select("band", F.col("part").alias("head"))
-    placed = known.join(heads.hint("merge"), "band")
-    strays = placed.where("part <> head").select("band", *[F.col(c).alias(f"x_{c}") for c in ("id", "s0", "s1", "part")])
-    rest = placed.where("id <> first")
-    meet = (F.col("x_part") != F.col("part")) & ((F.col("part") == F.col("head")) | (F.col("x_id") < F.col("id"))) & (_agree("x_", "") >= AGREE)
-    more = rest.join(strays.hint("merge"), "band").where(meet).select(F.greatest("x_id", "id").alias("a"), F.least("x_id", "id").alias("b")).distinct()
-    more = _verify(scratch, texts, more, min_chars, percent, "second")
+    open_ = known.join(heads.hint("merge"), "band")
+    open_ = scratch.table(open_.join(open_.where("part <> head").select("band").distinct().hint("merge"), "band", "left_semi"), "open")
+    # of those buckets' lines, the ones that agree enough with a line of another component get the finer sketch
+    x, y = open_.where("part <> head").alias("x"), open_.where("id <> first").alias("y")
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (_agree("x.", "y.") >= AGREE)
+    some = x.join(y.hint("merge"), meet, "left_semi").select("id").unionAll(y.join(x.hint("merge"), meet, "left_semi").select("id"))
+    some = scratch.table(some.distinct(), "some")
+    if some.isEmpty():
+        return labels
+    fine = scratch.table(_lines(texts, some, min_chars, fine=True), "fine")
+    placed = open_.join(fine.select("id", "bands", *FINE).hint("merge"), "id")
+    strays, rest = placed.where("part <> head").alias("x"), placed.where("id <> first").alias("y")
+    meet = meet & ((F.col("y.part") == F.col("y.head")) | (F.col("x.id") < F.col("y.id"))) & (_estimate("x", "y") >= percent / 100 - FINE_SLACK)
+    once = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.array_position("x.bands", F.col("x.band"))
+    more = strays.join(rest.hint("merge"), meet & once).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    more = scratch.table(_verified(more, fine, percent), "more")
     if not more.isEmpty():
         labels = scratch.table(components(scratch, links.unionAll(more), "cc2"), "labels2")
     return labels
 
 
-def _verify(scratch: Scratch, texts: DataFrame, pairs: DataFrame, min_chars: int, percent: int, name: str) -> DataFrame:
-    pairs = scratch.table(pairs, f"pairs-{name}")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = _bit_map(ids)
-    if not bits.any():
-        return pairs
-    lines = texts.select("text").mapInArrow(_texts(min_chars, bits), "id long, line string")
-    lines = scratch.table(lines.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), f"lines-{name}")
-    both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")).hint("merge"), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
-    return scratch.table(both.mapInArrow(_jaccard(percent), "a long, b long"), f"links-{name}")
+def _lines(texts: DataFrame, ids: DataFrame, min_chars: int, fine: bool = False) -> DataFrame:
+    """(id, line) of the lines with those ids, read again from the texts; fine: with bands and the finer sketch."""
+    ids = ids.distinct()
+    schema = "id long, line string" + (", bands array<long>" + "".join(f", {w} long" for w in FINE) if fine else "")
+    lines = texts.select("text").mapInArrow(_texts(min_chars, _bit_map(ids), fine), schema)
+    return lines.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    x = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
+    y = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_jaccard(percent), "a long, b long")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, percent: int = PERCENT) -> DataFrame:
