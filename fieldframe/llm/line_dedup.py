@@ -12,7 +12,7 @@ connected component the first line by (doc_id, line number) stays, all others go
    the Jaccard similarity is counted from both whole sets of shingles (48-bit hashes of them).
 4. Verified pairs give components by distributed large-star and small-star steps.
 5. Buckets that still span several components are gone through once more, strays against the others, each pair in the
-   first bucket that the two share. The join condition holds an estimate from 2 bits of 1024 minima, so only pairs next
+   first bucket that the two share. The join condition holds an estimate from 2 bits of 2048 minima, so only pairs next
    to the threshold come out and are verified.
 6. A last pass over the texts takes each line's component, keeps the first position of each, and rebuilds documents.
 
@@ -46,8 +46,8 @@ BANDS = 15
 _SUBSETS = np.stack([np.random.default_rng(1000 + b).permutation(HASHES)[:ROWS] for b in range(BANDS)])
 #: Low bits kept of the first 12 minima, in one long. A pair has to agree in as many of them at least to be verified.
 BITS, KEPT, AGREE = 5, 12, 4
-#: The finer sketch, and what its estimate may lack: 4.5 standard errors of 1024 matches of 2 bits.
-FINE_HASHES, FINE_SLACK = 1024, 0.067
+#: The finer sketch, and what its estimate may lack: 4 standard errors of 2048 matches of 2 bits.
+FINE_HASHES, FINE_SLACK = 2048, 0.042
 
 
 class Lines:
