@@ -246,15 +246,21 @@ def _estimate(a: str, b: str) -> Column:
     return ((1 - differ / F.lit(float(FINE_HASHES))) - 0.25) / 0.75
 
 
+def _walked(keys: DataFrame) -> DataFrame:
+    """Each bucket's lines, once each, with the bucket's first line and the one before; buckets of one line fall away."""
+    by = W.partitionBy("band").orderBy("id")
+    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    now = F.struct("id", "s0")
+    walked = keys.select("band", "id", "s0", F.first(now).over(by.rowsBetween(W.unboundedPreceding, 0)).alias("head"), F.lag(now).over(by).alias("prev"), F.last("id").over(whole).alias("last"))
+    # a line that occurs in several pieces is several times in its buckets: only its first row there counts
+    return walked.where("(prev is null or prev.id <> id) and last <> head.id").drop("last")
+
+
 def line_classes(scratch: Scratch, docs: DataFrame, min_chars: int = MIN_CHARS, percent: int = PERCENT) -> DataFrame:
     """(id, component) of the lines that are linked to a line with another text."""
     texts = pick(docs, "doc_id", "text")
     keys = texts.select("text").mapInArrow(_bands(min_chars), "id long, band long, s0 long")
-    by = W.partitionBy("band").orderBy("id")
-    now = F.struct("id", "s0")
-    walked = keys.select("band", "id", "s0", F.first(now).over(by.rowsBetween(W.unboundedPreceding, 0)).alias("head"), F.lag(now).over(by).alias("prev"), F.lead("id").over(by).alias("next"))
-    # a line that occurs in several pieces is several times in its buckets: only its first row there counts
-    walked = walked.where("(prev is null or prev.id <> id) and (head.id <> id or next <> id)")
+    walked = _walked(keys)
     members = scratch.table(walked.select("band", "id", "s0", "head", "prev"), "members")
     later = members.where("prev is not null")
     to_head = later.where(_agree("", "head.") >= AGREE).select(F.col("id").alias("a"), F.col("head.id").alias("b"))

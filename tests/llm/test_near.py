@@ -129,6 +129,31 @@ def test_lines(spark, odd_rows):
     assert got == brute_lines(rows)
 
 
+def test_walk_keeps_the_first_line_of_a_bucket(spark):
+    """However many pieces a line stands in, it is in its bucket once; a bucket of one line is none."""
+    rows = [(i, 7, i * 10) for i in (1, 1, 1, 2, 3, 3, 4, 5)] + [(1, 8, 10), (1, 8, 10), (6, 9, 60), (1, 10, 10), (2, 10, 20)]
+    df = spark.createDataFrame(rows, "id long, band long, s0 long").repartition(4)
+    got = sorted((r.band, r.id, r.head.id, r.prev and r.prev.id) for r in line_dedup._walked(df).collect())
+    assert got == [(7, 1, 1, None), (7, 2, 1, 1), (7, 3, 1, 2), (7, 4, 1, 3), (7, 5, 1, 4), (10, 1, 1, None), (10, 2, 1, 1)]
+
+
+def test_lines_that_stand_in_several_pieces(spark):
+    """Variants of lines, linked to each other but often to neither the first line of a bucket nor the one before."""
+    rng = random.Random(1)
+    variants = []
+    for _ in range(12):
+        base = sentence(rng, 24).split()
+        for _ in range(14):
+            w = list(base)
+            for k in rng.sample(range(24), 2):
+                w[k] = f"{w[k]}{rng.randrange(100)}"
+            variants.append(" ".join(w))
+    rows = [(k, v) for k, v in enumerate(variants * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.text, r._n_lines, r._n_dropped) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == brute_lines(rows)
+
+
 def test_line_cases(odd, empty, odd_rows):
     out = line_dedup.dedup_lines(odd)
     assert out.count() == len(odd_rows)
