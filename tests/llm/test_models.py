@@ -273,6 +273,25 @@ def test_media_copies_among_unrelated_images(spark):
     assert wrong <= 1
 
 
+def test_media_copies_of_twice_the_size(spark):
+    found, n, wrong = harder_copies(spark, lambda rng, x: media._resize(x, 144, 144))
+    assert found == n
+    assert wrong <= 1
+
+
+def test_media_keys_meet_at_the_accepted_distance():
+    """A corner shares a key at 24 of 256 differing bits nearly always, at 48 in four of ten cases."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**32, (400, 8), dtype=np.uint32)
+    for differ, least in ((24, 0.9), (48, 0.35)):
+        flipped = np.unpackbits(words.astype(">u4").view(np.uint8), axis=1)
+        for row in flipped:
+            row[rng.permutation(256)[:differ]] ^= 1
+        other = np.packbits(flipped, axis=1).view(">u4").astype(np.uint32)
+        share = np.mean([len(np.intersect1d(media._keys(a[None]), media._keys(b[None]))) > 0 for a, b in zip(words, other, strict=True)])
+        assert share >= least
+
+
 def test_media_cases(spark):
     flat = bytes([9]) * 400
     rows = [(1, flat, 20, 20), (2, flat, 20, 20), (3, None, 20, 20), (4, b"", 0, 0), (5, b"abc", 20, 20), (6, b"x", 1, 1), (7, None, None, None), (7, None, None, None)]
