@@ -647,6 +647,13 @@ def spa_receiver(spark, sf_dir):
     return out.select("l_orderkey", "seq", *[_r(n, 4).alias(n) for n in spatial.AXES], "predicted", "error")
 
 
+@query(f"WITH {STEPS} SELECT l_orderkey, seq, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, FALSE AS predicted, NULL::VARCHAR AS error FROM p")
+def spa_receiver_all(spark, sf_dir):
+    """Sent frames, received again: every order is a stream."""
+    out = receiver.run_batch(_frames(spark, sf_dir), "l_orderkey", "seq", receiver.receive, receiver.STATE_OUT)
+    return out.select("l_orderkey", "seq", *[_r(n, 4).alias(n) for n in spatial.AXES], "predicted", "error")
+
+
 # ================================================================ text and bytes
 
 

@@ -29,6 +29,13 @@ def test_quantization_errors_are_within_a_step(spark, sf):
     assert all(row)
 
 
+def test_every_order_is_received(spark, sf):
+    got = queries.QUERIES["spa_receiver_all"](spark, sf)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert got.count() == lines.count()
+    assert got.select("l_orderkey").distinct().count() == lines.select("l_orderkey").distinct().count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
