@@ -65,7 +65,7 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, first = word_spans(part, at)
             words = mix(span_hashes(part, starts, ends) ^ mix((np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64) + U64(1)))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words, dtype=np.uint64)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], batch.column("source")[i:j], pa.array(np.diff(first) + 1), pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64))], ["doc_id", "source", "n", "cluster"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], batch.column("source")[i:j], pa.array(np.diff(first) + 1), pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)), batch.column("own_n")[i:j], batch.column("own_cluster")[i:j]], ["doc_id", "source", "n", "cluster", "own_n", "own_cluster"])
 
 
 def _pack(capacity: int):
@@ -95,13 +95,16 @@ def _pack(capacity: int):
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, length: str | None = None, cluster: str | None = None) -> DataFrame:
     """(doc_id, copy, piece, bin, position, n_tokens, source): where each piece of each row of docs(doc_id, text,
-    source) goes. length, cluster: columns to take instead of words and equal word sequences; length has to be 1 or
+    source) goes. length, cluster: columns to take instead of words and equal word sequences, either or both; length has to be 1 or
     more."""
+    none = F.lit(None).cast("long")
+    given = [F.greatest(F.coalesce(docs[length].cast("long"), F.lit(1)), F.lit(1)) if length else none, F.xxhash64(docs[cluster]) if cluster else none]
+    given = [c.alias(n) for c, n in zip(given, ("own_n", "own_cluster"), strict=True)]
     if length and cluster:
-        items = pick(docs, "doc_id", "source", length, cluster).toDF("doc_id", "source", "n", "cluster").withColumn("n", F.greatest(F.coalesce(F.col("n").cast("long"), F.lit(1)), F.lit(1)))
-        items = items.withColumn("cluster", F.xxhash64("cluster"))
+        items = docs.select(docs["doc_id"], docs["source"], *given)
     else:
-        items = pick(docs, "doc_id", "source", "text").mapInArrow(_measure, "doc_id long, source string, n long, cluster long")
+        items = docs.select(docs["doc_id"], docs["source"], docs["text"], *given).mapInArrow(_measure, "doc_id long, source string, n long, cluster long, own_n long, own_cluster long")
+    items = items.select("doc_id", "source", F.col("own_n" if length else "n").alias("n"), F.col("own_cluster" if cluster else "cluster").alias("cluster"))
     shards = max(1, math.ceil(docs.count() / shard))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
     # rows are few bytes and much work: a number of tasks of its own, or they would be coalesced by their bytes

@@ -252,6 +252,14 @@ def test_media(spark):
     assert out[100].component_id == 0
 
 
+def test_packing_takes_length_or_cluster_alone(spark):
+    df = spark.createDataFrame([(k, None, f"word{k} other", 7, "same") for k in range(6)], "doc_id long, source string, text string, n int, g string")
+    assert {r.n_tokens for r in packing.pack_documents(df, capacity=20, length="n").collect()} == {7}
+    rows = packing.pack_documents(df, capacity=20, cluster="g").collect()
+    assert {r.n_tokens for r in rows} == {3}
+    assert len({r.bin for r in rows}) == 6  # copies share no sequence
+
+
 def harder_copies(spark, edit):
     """(copies found, copies, others linked) for 120 pictures, 20 of them shown again with an edit."""
     rng = np.random.default_rng(6)
