@@ -8,7 +8,7 @@ with one number for each file it gives the place in the whole sequence without a
 
 Documents are range-partitioned by doc_id before they are encoded, so the wide column is never sorted or moved. A word
 is encoded by the library once for each Python worker: the pre-tokenizer splits at white space, so a text's ids are its
-words' ids in turn. The memo has a fixed bound.
+words' ids in turn, gathered for a piece of text at a time. The memo has a fixed bound.
 
 Cases: null and empty texts have the end id alone; repeated doc_ids stay next to each other, ordered by text; rows with
 a null doc_id come first; an empty table gives no rows; texts are encoded whole; further columns are ignored.
@@ -26,89 +26,200 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import FOLD, U64, Scratch, pick, pieces, span_hashes, utf8, word_spans
 
 SCHEMA = "doc_id long, n_tokens int, local_start long, ids array<int>"
 END_ID = 1
-#: Words that a Python worker remembers in a generation.
-MEMO = 400_000
+#: Words that a Python worker remembers.
+MEMO = 500_000
 
 #: Files whose starts may be broadcast: under 100 bytes each.
 MOST_BROADCAST = 100_000
 
-#: White space to the pre-tokenizer is Unicode's, as str.split has it, but for the separators 1C to 1F.
-NOT_SPACE = re.compile(r"[\S\x1c-\x1f]+")
-
 _tokenizers: dict = {}
 
+#: What a byte is to a run of characters: 0 a letter up to U+00FF or a part of one, 1 any other.
+_OTHER = np.ones(256, bool)
+_OTHER[65:91] = _OTHER[97:123] = _OTHER[0x80:0xC0] = _OTHER[0xC3] = False
+
+
+class Memo:
+    """Ids by word: an open-addressed table whose rows are a word's 64-bit hash, a second hash to tell a collision, the
+    place of its ids in a pool and the last clearing before its use; a row is one line of the processor's cache. It holds
+    at most about `most` words; beyond that, words not used since the last clearing go."""
+
+    def __init__(self, most: int):
+        self.most, self.age = most, 0
+        self.size = 1 << max(10, (2 * most - 1).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows = np.zeros((self.size, 4), np.uint64)
+        self.pool = np.empty(1024, np.int32)
+        self.count = self.filled = 0
+        self.age += 1
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word, the place and number of its ids; -1: unknown, -2: another word has its first hash."""
+        slot = (h1 & U64(self.size - 1)).astype(np.int64)
+        rows = self.rows[slot]
+        left = np.flatnonzero((rows[:, 2] != 0) & (rows[:, 0] != h1))
+        at = slot[left]
+        while len(left):
+            at = (at + 1) & (self.size - 1)
+            rows[left] = more = self.rows[at]
+            slot[left] = at
+            again = (more[:, 2] != 0) & (more[:, 0] != h1[left])
+            left, at = left[again], at[again]
+        self.rows[slot, 3] = self.age
+        n = (rows[:, 2] & U64((1 << 24) - 1)).astype(np.int64)
+        place = (rows[:, 2] >> U64(25)).astype(np.int64)
+        place[rows[:, 1] != h2] = -2
+        place[rows[:, 2] == 0] = -1
+        return place, n
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Words that are not there, each once."""
+        n = np.array([len(x) for x in ids], np.uint64)
+        flat = np.concatenate([np.empty(0, np.int32), *ids])
+        if self.filled + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(self.filled + len(flat), np.int32)])
+        self.pool[self.filled : self.filled + len(flat)] = flat
+        first = U64(self.filled) + np.cumsum(n) - n
+        self.count, self.filled = self.count + len(h1), self.filled + len(flat)
+        # bit 24 tells a row with no ids from none
+        self._place(np.stack([h1, h2, (first << U64(25)) | U64(1 << 24) | n, np.full(len(h1), self.age, np.uint64)], 1))
+
+    def _place(self, rows: np.ndarray) -> None:
+        slot = (rows[:, 0] & U64(self.size - 1)).astype(np.int64)
+        while len(rows):
+            free = self.rows[slot, 2] == 0
+            self.rows[slot[free]] = rows[free]  # of several for one place the last stays
+            left = self.rows[slot, 0] != rows[:, 0]
+            rows, slot = rows[left], (slot[left] + 1) & (self.size - 1)
+
+    def trim(self) -> None:
+        if self.count <= self.most:
+            return
+        keep = self.rows[(self.rows[:, 2] != 0) & (self.rows[:, 3] == self.age)]
+        if len(keep) > self.most // 2:
+            keep = keep[:0]
+        n, first = (keep[:, 2] & U64((1 << 24) - 1)).astype(np.int64), (keep[:, 2] >> U64(25)).astype(np.int64)
+        ids = [self.pool[a : a + k] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+        self.clear()
+        if len(keep):
+            self.add(keep[:, 0], keep[:, 1], ids)
+            self.rows[:, 3] = 0
+
 
 class WordEncoder:
     """ids of whole texts by way of their words. The library decides every word's ids; what is remembered is only the
     outcome for a run of characters between white space, or for its letters and the last comma or stop apart, which
-    the pre-tokenizer splits too. Two generations of at most MEMO words each: what is still in use moves on."""
+    the pre-tokenizer splits too."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ask(self, words: list[str]) -> None:
-        """Words of letters up to U+00FF are one pre-token each, so many of them are one text for the library."""
-        is_plain = lambda w: w.isalpha() and max(w) <= "\xff"
-        plain = [w for w in words if is_plain(w)]
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            e = self.library.encode(" ".join(some), add_special_tokens=False)
-            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            cuts = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
-            for w, a, b in zip(some, cuts, cuts[1:], strict=False):
-                self.memo[w] = ids[a:b].tobytes()
-        rest = [w for w in words if not is_plain(w)]
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
-        split = [NOT_SPACE.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        new = {w for words in split for w in words if w not in memo}
-        memo.update({w: old[w] for w in new if w in old})
-        parts = {w: self._parts(w) for w in new if w not in memo}
-        ask = {p for ps in parts.values() for p in ps if p not in memo}
-        memo.update({p: old[p] for p in ask if p in old})
-        self._ask([p for p in ask if p not in memo])
-        for w, ps in parts.items():
-            if w not in memo:
-                memo[w] = b"".join([memo[p] for p in ps])
-        return [b"".join([memo[w] for w in words]) for words in split]
+        self.memo = Memo(MEMO)
+        self.stop = {c: np.array(self.library.encode(chr(c), add_special_tokens=False).ids, np.int32) for c in b",."}
+
+    def _ask(self, words: list[bytes], plain: np.ndarray) -> list[np.ndarray]:
+        """Plain words are one pre-token each, so many of them are one text for the library."""
+        out: list = [None] * len(words)
+        at = np.flatnonzero(plain).tolist()
+        for k in range(0, len(at), 500):
+            some = at[k : k + 500]
+            e = self.library.encode(b" ".join([words[i] for i in some]).decode(), add_special_tokens=False)
+            ids = np.array(e.ids, np.int32)
+            cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)).tolist()
+            for i, a, b in zip(some, cuts, cuts[1:], strict=False):
+                out[i] = ids[a:b]
+        rest = np.flatnonzero(~plain).tolist()
+        for i, e in zip(rest, self.library.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.int32)
+        return out
+
+    @staticmethod
+    def _plain(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes with letters up to U+00FF as small ones, and which bytes are no such letter. Each has one small
+        letter and no other normal form."""
+        other = _OTHER[data]
+        low = FOLD[data]
+        if (data >= 0x80).any():
+            after = np.concatenate([[False], data[:-1] == 0xC3])
+            tail = (data >= 0x80) & (data < 0xC0)
+            other |= tail & (~after | (data == 0x97) | (data == 0xB7))
+            low[after & (data < 0x9F) & (data != 0x97)] += 0x20
+        return low, other
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and their offsets by text."""
+        starts, ends, first = word_spans(data, offs)
+        if not len(starts):
+            return np.empty(0, np.int32), np.zeros(len(offs), np.int64)
+        low, other = self._plain(data)
+        bad = np.concatenate([[0], np.cumsum(other)])
+        last = data[ends - 1]
+        cut = ends - (((last == 44) | (last == 46)) & (ends - starts > 1))
+        plain = bad[cut] == bad[starts]
+        ends, stop = np.where(plain, cut, ends), np.where(plain & (cut < ends), last, 0)
+        h1, h2 = self._hashes(low, data, starts, ends, plain)
+        self.memo.trim()
+        at, n = self.memo.find(h1, h2)
+        new = np.flatnonzero(at == -1)
+        if len(new):
+            some, which = np.unique(h1[new], return_index=True)
+            rep = new[which]
+            words = [(low if p else data)[a:b].tobytes() for a, b, p in zip(starts[rep].tolist(), ends[rep].tolist(), plain[rep].tolist(), strict=True)]
+            self.memo.add(some, h2[rep], self._ask(words, plain[rep]))
+            at[new], n[new] = self.memo.find(h1[new], h2[new])
+        pool = self.memo.pool
+        odd = np.flatnonzero(at < 0)  # words whose first hash another has
+        if len(odd):
+            asked = self._ask([(low if plain[i] else data)[starts[i] : ends[i]].tobytes() for i in odd], plain[odd])
+            n[odd] = [len(x) for x in asked]
+            at[odd] = self.memo.filled + np.cumsum(n[odd]) - n[odd]
+            pool = np.concatenate([pool[: self.memo.filled], *asked])
+        more = np.zeros(len(n), np.int64)
+        for c, ids in self.stop.items():
+            more[stop == c] = len(ids)
+        offset = np.concatenate([[0], np.cumsum(n + more)])
+        out = np.empty(offset[-1], np.int32)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(offset[:-1], n) + within] = pool[np.repeat(at, n) + within]
+        for c, ids in self.stop.items():
+            ends_at = offset[1:][stop == c]
+            for k, x in enumerate(ids):
+                out[ends_at - len(ids) + k] = x
+        return out, offset[first]
 
     @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """Letters up to U+00FF have one small letter each and no other normal form."""
-        core, stop = (word[:-1], word[-1:]) if word[-1] in ".," else (word, "")
-        if core.isalpha() and max(core) <= "\xff":
-            return (core.lower(), stop) if stop else (core.lower(),)
-        return (word,)
+    def _hashes(low: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each word: of its small letters if it is plain, else of its bytes."""
+        out = []
+        rest = np.flatnonzero(~plain)
+        for seed in (1, 2):
+            h = span_hashes(low, starts, ends, seed)
+            if len(rest):
+                h[rest] = span_hashes(data, starts[rest], ends[rest], seed)
+            out.append(h)
+        return out[0], out[1]
 
 
 def _encode(path: str, end_id: int):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizers.get(path) or _tokenizers.setdefault(path, WordEncoder(path))
-        end = np.array([end_id], "<u4").tobytes()
         start = 0
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                rows = [x + end for x in encoder.ids([t or "" for t in batch.column("text").to_pylist()])]
-                counts = np.array([len(x) // 4 for x in rows], np.int64)
-                offs = np.concatenate([[0], np.cumsum(counts)])
-                ids = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(start + offs[:-1]), ids], ["doc_id", "n_tokens", "local_start", "ids"])
-                start += int(offs[-1])
+        for batch in batches:
+            data, offs = utf8(batch.column("text"))
+            for i, j in pieces(offs, 1 << 18):
+                ids, at = encoder.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                out = np.insert(ids, at[1:], end_id)
+                at = at + np.arange(len(at))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(np.diff(at), pa.int32()), pa.array(start + at[:-1]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out))], ["doc_id", "n_tokens", "local_start", "ids"])
+                start += int(at[-1])
 
     return encode
 
@@ -128,16 +239,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     encoded.write.options(**options).parquet(path)
 
 
+#: The numbers of the task and of its file in a part file's name.
+FILE = re.compile(r"part-(\d+)-.*?c(\d+)\.")
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): start is the number of ids in all documents before."""
     rows = spark.read.schema(SCHEMA).parquet(path).withColumn("file", F.col("_metadata.file_name"))
     # one row for each file, from the two metadata columns alone
-    ends = rows.groupBy("file").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("total"))
-    totals = sorted((r["file"], r["total"]) for r in ends.collect())  # part files are numbered in doc_id order
+    ends = rows.groupBy("file").agg(F.min("local_start").alias("first"), F.max(F.col("local_start") + F.col("n_tokens")).alias("last"))
+    # a task's files, and the tasks, are numbered in doc_id order; a task counts on through its files
+    totals = sorted((*map(int, FILE.search(r["file"]).groups()), r["file"], r["first"], r["last"]) for r in ends.collect())
     before, sums = 0, []
-    for file, total in totals:
-        sums.append((file, before))
-        before += total
+    for _, _, file, first, last in totals:
+        sums.append((file, before - first))
+        before += last - first
     starts = spark.createDataFrame(sums or [("", 0)], "file string, before long")
     # one short row a file; past that many files the ids are merged with it by file
     starts = F.broadcast(starts) if len(sums) <= MOST_BROADCAST else starts.hint("merge")

@@ -45,7 +45,7 @@ def test_files(spark, odd, tmp_path):
             for c in range(meta.num_columns):
                 col = meta.row_group(g).column(c)
                 assert col.has_column_index and col.has_offset_index
-                assert any("DELTA" in e for e in col.encodings) or col.path_in_schema.startswith("ids")
+                assert "DELTA_BINARY_PACKED" in col.encodings
         ids = pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()
         assert ids == sorted(ids)
         assert last is None or not ids or ids[0] >= last
@@ -57,8 +57,43 @@ def test_files(spark, odd, tmp_path):
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(token_files, "MEMO", 10)
     e = token_files.WordEncoder(PATH)
-    texts = [f"word{k} other{k}" for k in range(50)]
+    texts = [f"word{k} other{k} Ünder Point{'abcdefghij'[k % 10]}. x{k % 3}," for k in range(50)]
     whole = Tokenizer.from_file(PATH)
     for t in texts:
-        assert list(np.frombuffer(e.ids([t])[0], "<u4")) == whole.encode(t, add_special_tokens=False).ids
-        assert len(e.memo) <= 10 + 6 and len(e.old) <= 10 + 6
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ids, offs = e.encode(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids == ids[: offs[1]].tolist()
+        assert e.memo.count <= 10 + 6
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    """Words are told apart by a second hash where the first is the same."""
+    real = token_files.span_hashes
+    monkeypatch.setattr(token_files, "span_hashes", lambda d, a, b, seed=0: real(d, a, b, seed) % np.uint64(3) if seed == 1 else real(d, a, b, seed))
+    e = token_files.WordEncoder(PATH)
+    t = "one two three four five six, seven eight. nine ten one two 3.5 six,"
+    raw = np.frombuffer(t.encode(), np.uint8)
+    assert e.encode(raw, np.array([0, len(raw)]))[0].tolist() == Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids
+
+
+def test_starts_with_several_files_a_task(spark, odd, odd_rows):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        got = sorted(map(tuple, token_files.token_digest(odd.repartition(2), PATH).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert got == sorted(brute(odd_rows))
+
+
+def test_files_are_ordered_by_number():
+    names = ["part-100000-x-c000.zstd.parquet", "part-99999-x-c000.zstd.parquet", "part-99999-x-c010.zstd.parquet", "part-99999-x-c1000.zstd.parquet"]
+    got = sorted(names, key=lambda n: tuple(map(int, token_files.FILE.search(n).groups())))
+    assert got == [names[1], names[2], names[3], names[0]]
+
+
+def test_long_text(spark):
+    """Longer than a piece."""
+    text = "A river, light under winter. 42 ñandú " * 40_000
+    rows = [(1, "x"), (2, text), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, token_files.token_digest(df, PATH).collect())) == brute(rows)
