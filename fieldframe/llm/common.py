@@ -7,6 +7,8 @@ Every kernel works on Arrow string columns in pieces of a few MB, so the memory
 from __future__ import annotations
 
 import atexit
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,15 +23,12 @@ from pyspark.sql import functions as F
 PIECE = 1 << 20
 
 U64 = np.uint64
-_RNG = np.random.default_rng(20240229)
-#: A random odd word for each byte, A-Z as a-z; _BYTES is the same with case kept.
-_BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
-_P = U64(0x9E3779B97F4A7C15)
-_P_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Bytes with A-Z as a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 _MIX = [U64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_powers: dict[str, np.ndarray] = {}
+#: For each number of bytes up to eight, a word with those bytes set.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -39,9 +38,12 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests, a laptop) one is made and set."""
+    """The folder named in spark.checkpoint.dir; only where it is unset and the master is local (tests, a laptop) one is
+    made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fieldframe-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -85,8 +87,9 @@ class Scratch:
             self.spark.conf.set(CLEAN, before)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        delete(self.spark, f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def pick(docs: DataFrame, *cols: str) -> DataFrame:
@@ -129,16 +132,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, PIECE + 1)
-        for key, base in (("up", _P), ("down", _P_INV)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[key] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
-
-
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the index of its first word (n + 1)."""
     n = len(data)
@@ -155,13 +148,42 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _LOWER) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, whatever its place."""
-    up, down = powers(len(data))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(table[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX[2])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span, whatever its place. Every eight bytes are mixed with their
+    number in the span before they are added up, so no algebra of the text carries over; seeds are independent."""
+    buf = np.zeros(len(data) + 8, np.uint8)
+    buf[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", buf.data, strides=(1,))
+    size = ends - starts
+    key = U64(int(_MIX[3]) * (2 * seed + 1) % 2**64)
+
+    def block(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        x = (eight[at] & _MASKS[np.minimum(left, 8)]) ^ key
+        x *= _MIX[0]
+        x ^= x >> U64(32)
+        return x * _MIX[1]
+
+    total = mix(block(starts, size))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        n = (size[long] - 1) >> 3  # blocks after the first
+        first = np.cumsum(n) - n
+        k = np.arange(n.sum()) - np.repeat(first, n) + 1
+        at = np.repeat(starts[long], n) + 8 * k
+        total[long] += np.add.reduceat(mix(block(at, np.repeat(ends[long], n) - at) + k.astype(np.uint64) * _MIX[4]), first)
+    return mix(total + size.astype(np.uint64) * _MIX[2])
+
+
+def word_digests(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2 digests (rows x 2 longs) of each row's words, joined by one space."""
+    data, keep = data.copy(), ~SPACE[data]
+    more = np.ones(len(ends), bool)
+    more[first[1:][np.diff(first) > 0] - 1] = False  # a row's last word
+    data[ends[more]] = 32
+    keep[ends[more]] = True
+    at = np.concatenate([[0], np.cumsum(keep)])[offs].tolist()
+    view = memoryview(data[keep])
+    return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)]), "<i8").reshape(-1, 2)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +226,8 @@ def distinct_by_row(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, n
 
 
 def minima(values: np.ndarray, offs: np.ndarray, seeds: np.ndarray, block: int = 1 << 15) -> np.ndarray:
-    """MinHash minima (rows x seeds, uint32) of each row's values; rows without values get the largest number."""
+    """MinHash minima (rows x seeds, uint32) of each row's values; rows without values get the largest number. The values
+    are hashes already: an odd factor deals each seed another order."""
     n, k = len(offs) - 1, len(seeds)
     out = np.full((n, k), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(np.diff(offs))
@@ -216,9 +239,9 @@ def minima(values: np.ndarray, offs: np.ndarray, seeds: np.ndarray, block: int =
         a = offs[rows[0]]
         b = offs[rows[-1] + 1]
         x, cuts = low[a:b], offs[rows] - a
+        y = np.empty_like(x)
         for s in range(k):
-            y = x * seeds[s]
-            y ^= y >> np.uint32(15)
+            np.multiply(x, seeds[s], out=y)
             out[rows, s] = np.minimum.reduceat(y, cuts)
     return out
 
@@ -254,9 +277,21 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
             scratch.drop(f"{name}-{turn - 1}")
         if state == before:
             break
+    else:
+        raise RuntimeError(f"{name}: components have not settled after {turn} rounds")
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def joined_components(scratch: Scratch, labels: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """Components (id, component) after further edges (a, b): only the components that these join are gone through."""
+    part = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part")).hint("merge")
+    between = more.join(part("a"), "a", "left").join(part("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    joined = scratch.table(components(scratch, between, name), f"{name}-joined")
+    moved = labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")).hint("merge"), "component", "left")
+    moved = moved.select("id", F.coalesce("to", "component").alias("component"))
+    return moved.unionAll(joined.join(labels.select("id").hint("merge"), "id", "left_anti").select("id", "component"))
+
+
 def _print(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -1,9 +1,10 @@
 """Near-dedup of documents by b-bit MinHash.
 
-1. One pass over the texts gives for each document the number of distinct word shingles, a 128-bit sum over them, the
-   lowest 4 bits of 128 minima packed into eight longs, and the band keys, made from the full minima.
-2. Documents with the same set are one class; only its smallest doc_id goes on. However many copies there are, they
-   meet in a grouped minimum, never in pairs.
+1. One pass over the texts gives for each document the number of distinct word shingles, a 128-bit cryptographic digest of
+   its words, the lowest 4 bits of 128 minima packed into eight longs, and the band keys, made from the full minima.
+2. Documents with the same words in the same order have equal sets: they are one class, and only its smallest doc_id
+   goes on. However many copies there are, they meet in a grouped minimum, never in pairs. Equal sets in another order
+   are found and confirmed as any others.
 3. Every member of a band bucket is paired with the bucket's smallest doc_id. The packed signatures are compared by bit
    counts in the join condition; (matches / 128 - 1/16) / (1 - 1/16) corrects for equal low bits by chance. Pairs well
    below the threshold go no further.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, components, distinct_by_row, hash_seeds, minima, mix, pick, pieces, shingle_hashes, span_hashes, utf8, word_spans
+from .common import FOLD, U64, Scratch, components, distinct_by_row, hash_seeds, joined_components, minima, mix, pick, pieces, shingle_hashes, span_hashes, utf8, word_digests, word_spans
 
 HASHES = 128
 BITS = 4
@@ -44,13 +45,14 @@ FINE = [f"w{i}" for i in range(FINE_HASHES * FINE_BITS // 64)]
 SIGNATURE = [f"s{i}" for i in range(HASHES * BITS // 64)]
 
 
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each piece of rows i..j: sorted distinct shingle hashes and their offsets."""
+def shingle_sets(texts: pa.Array, k: int, digests: bool = False) -> Iterator[tuple]:
+    """For each piece of rows i..j: sorted distinct shingle hashes and their offsets, and digests of the words."""
     data, offs = utf8(texts)
     for i, j in pieces(offs):
-        part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        part, at = FOLD[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
         starts, ends, first = word_spans(part, at)
-        yield i, j, *distinct_by_row(*shingle_hashes(span_hashes(part, starts, ends), first, k))
+        found = distinct_by_row(*shingle_hashes(span_hashes(part, starts, ends), first, k))
+        yield (i, j, *found, word_digests(part, at, starts, ends, first)) if digests else (i, j, *found)
 
 
 def band_keys(least: np.ndarray, rows: int, bands: int) -> np.ndarray:
@@ -74,16 +76,12 @@ def _sketch(k: int):
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, values, offs in shingle_sets(batch.column("text"), k):
-                sums = []
-                for turn in (mix(values), mix(values ^ U64(0x5851F42D4C957F2D))):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(turn, dtype=np.uint64)])
-                    sums.append((total[offs[1:]] - total[offs[:-1]]).view(np.int64))
+            for i, j, values, offs, said in shingle_sets(batch.column("text"), k, digests=True):
                 least = minima(values, offs, seeds)
                 packed = pack(least).view(np.int64)
                 keys = band_keys(least, ROWS, BANDS).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(np.diff(offs)), *map(pa.array, sums), *[pa.array(np.ascontiguousarray(packed[:, c])) for c in range(packed.shape[1])], bands], ["doc_id", "n_shingles", "h1", "h2", *SIGNATURE, "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(np.diff(offs)), pa.array(said[:, 0].copy()), pa.array(said[:, 1].copy()), *[pa.array(np.ascontiguousarray(packed[:, c])) for c in range(packed.shape[1])], bands], ["doc_id", "n_shingles", "h1", "h2", *SIGNATURE, "bands"])
 
     return sketch
 
@@ -124,7 +122,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sketch = scratch.table(texts.mapInArrow(_sketch(k), schema), "sketch")
     some = sketch.where("n_shingles > 0")
 
-    # classes of equal sets
+    # classes of equal words
     same = scratch.table(some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(same.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = scratch.table(reps.select("doc_id", "n_shingles", *SIGNATURE, "bands"), "reps")
@@ -159,7 +157,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         more = strays.join(rest.hint("merge"), meet & once).select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
         more = scratch.table(_confirmed(more, fine, percent), "more")
         if not more.isEmpty():
-            labels = scratch.table(components(scratch, links.unionAll(more), "cc2"), "labels2")
+            labels = scratch.table(joined_components(scratch, labels, more, "cc2"), "labels2")
 
     found = same.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     rows = sketch.select("doc_id", "n_shingles", "h1", "h2")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pick, pieces, span_hashes, utf8, word_spans
+from .common import FOLD, U64, mix, pick, pieces, span_hashes, utf8, word_spans
 
 CAPACITY = 2048
 SHARD = 4096
@@ -63,7 +63,7 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in pieces(offs):
             part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             starts, ends, first = word_spans(part, at)
-            words = mix(span_hashes(part, starts, ends) ^ mix((np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64) + U64(1)))
+            words = mix(span_hashes(FOLD[part], starts, ends) ^ mix((np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64) + U64(1)))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words, dtype=np.uint64)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], batch.column("source")[i:j], pa.array(np.diff(first) + 1), pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)), batch.column("own_n")[i:j], batch.column("own_cluster")[i:j]], ["doc_id", "source", "n", "cluster", "own_n", "own_cluster"])
 

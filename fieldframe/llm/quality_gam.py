@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, distinct_by_row, pick, pieces, shingle_hashes, span_hashes, utf8, word_spans
+from .common import FOLD, Scratch, distinct_by_row, pick, pieces, shingle_hashes, span_hashes, utf8, word_spans
 
 #: Labelled rows that the fit takes at most.
 MAX_TRAIN = 20_000
@@ -68,7 +68,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     words = np.diff(first)
     has = words > 0
     per = np.maximum(words, 1)
-    hashes = span_hashes(data, starts, ends)
+    hashes = span_hashes(FOLD[data], starts, ends)
     length = (ends - starts).astype(float)
     sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[first])
     out[:, 9] = sums(length) / per
