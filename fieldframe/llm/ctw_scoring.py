@@ -12,8 +12,8 @@ How it is computed. Texts are dealt to blocks of bounded size by hash. Each bloc
 with their training counts, so what is gathered follows the input. Grams are dealt by their two most recent context
 bytes, a subtree each; one pass sends the weighted probabilities of those subtrees' roots (at most 256 x 256 x 255) up
 to the depths 0 and 1, a second one computes every gram's code length. Lengths and word counts go back to the blocks
-that asked for them, where whole texts are scored. No task holds more than a block or a subtree, and nothing that grows
-with the input is broadcast.
+that asked for them, a compressed row for each block and subtree, and whole texts are scored there. A task holds a block,
+or a subtree with the rows of all blocks that asked for it; nothing that grows with the input is broadcast.
 
 Word tokens, for the base score, are runs of non-white-space; their identity is a 64-bit hash.
 
@@ -32,14 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, pick, pieces, span_hashes, utf8, word_spans
+from .common import FOLD, U64, Scratch, pick, pieces, span_hashes, utf8, word_spans
 
 DEPTH = 5
 #: Bytes of text in a block, about.
 BLOCK = 20 << 20
 END = 0xFF
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 LN2 = math.log(2)
 
 
@@ -53,7 +51,7 @@ def grams(data: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, n
     size = np.diff(offs)
     first = depth + offs[:-1] + depth * np.arange(n)  # between texts: the end and depth - 1 more
     x = np.full(depth + offs[-1] + depth * n, END, np.uint8)
-    x[np.arange(offs[-1]) + np.repeat(first - offs[:-1], size)] = _FOLD[data]
+    x[np.arange(offs[-1]) + np.repeat(first - offs[:-1], size)] = FOLD[data]
     out = np.empty(offs[-1] + n, np.uint64)
     at = np.concatenate([[0], np.cumsum(size + 1)])
     places = np.arange(len(out)) + np.repeat(first - at[:-1], size + 1)
@@ -79,23 +77,45 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.diff(np.append(new, len(values)))
 
 
+class _Tally:
+    """Sums by key, merged whenever twice as much has come as was left the last time."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.limit = 0, 1 << 19
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.size += len(keys)
+        if self.size > self.limit:
+            self.merge()
+            self.limit = max(1 << 19, 2 * self.size)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) != 1:
+            none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+            self.parts = [tally(*(np.concatenate(x) for x in zip(none, *self.parts, strict=True)))]
+        self.size = len(self.parts[0][0])
+        return self.parts[0]
+
+
 def _ask(depth: int):
     def ask(table: pa.Table) -> pa.Table:
         """The block's distinct grams (kind 0) and words (kind 1) with training counts."""
-        found: dict[int, list] = {0: [], 1: []}
+        found = (_Tally(), _Tally())
         train = np.asarray(table["train"].combine_chunks())
         data, offs = utf8(table["text"])
         for i, j in pieces(offs):
             part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             starts, ends, first = word_spans(part, at)
-            for kind, (values, ends_at) in enumerate((grams(part, at, depth), (span_hashes(part, starts, ends), first))):
+            for kind, (values, ends_at) in enumerate((grams(part, at, depth), (span_hashes(FOLD[part], starts, ends), first))):
                 mine = np.repeat(train[i:j], np.diff(ends_at))
                 for own, weight in ((mine, 1), (~mine, 0)):
                     keys, n = _distinct(values[own])
-                    found[kind].append((keys, n * weight))
+                    found[kind].add(keys, n * weight)
         out = []
-        for kind, parts in found.items():
-            keys, n = tally(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+        for kind, x in enumerate(found):
+            keys, n = x.merge()
             out.append(pa.table({"kind": pa.array(np.full(len(keys), kind, np.int8)), "key": keys.view(np.int64), "n": pa.array(n, pa.int64())}))
         whole = pa.concat_tables(out)
         return whole.append_column("block", pa.array(np.full(len(whole), table["block"][0].as_py(), np.int64)))
@@ -103,6 +123,38 @@ def _ask(depth: int):
     return ask
 
 
+# ---------------------------------------------------------------- values on their way back to the blocks
+
+PACKED = "block long, kind byte, size long, keys binary, vals binary, distinct long"
+_zstd = pa.Codec("zstd", 1)
+
+
+def _packed(blocks: np.ndarray, kind: int, keys: np.ndarray, values: np.ndarray, distinct: int) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its sorted keys as differences, and their values, both compressed. distinct stands in the
+    first row alone, to be summed."""
+    order = np.argsort(blocks, kind="stable")
+    blocks, keys, values = blocks[order], keys[order], values[order]
+    cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]])) if len(blocks) else np.zeros(1, np.int64)
+    cols: list[list] = [[], [], [], [], [], []]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        step = np.diff(keys[a:b], prepend=U64(0))
+        row = (int(blocks[a]), kind, b - a, _zstd.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T), asbytes=True), _zstd.compress(np.ascontiguousarray(values[a:b]), asbytes=True), 0 if a else distinct)
+        for col, x in zip(cols, row, strict=True):
+            col.append(x)
+    types = [pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["block", "kind", "size", "keys", "vals", "distinct"])
+
+
+def _unpacked(model: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = [np.empty(0, np.uint64)], [np.empty(0)]
+    for k, n, a, b in zip(*(model[c].to_pylist() for c in ("kind", "size", "keys", "vals")), strict=True):
+        if k == kind:
+            step = np.frombuffer(_zstd.decompress(a, 8 * n), np.uint8).reshape(8, -1).T
+            keys.append(np.cumsum(np.ascontiguousarray(step).view(np.uint64).ravel(), dtype=np.uint64))
+            values.append(np.frombuffer(_zstd.decompress(b, 8 * n), np.float64))
+    return np.concatenate(keys), np.concatenate(values)
+
+
 # ---------------------------------------------------------------- the tree
 
 
@@ -218,7 +270,8 @@ def _by_subtree(batches: Iterable[pa.RecordBatch], depth: int, rows: int = 1 <<
             continue
         table = pa.Table.from_batches(held)
         roots = np.asarray(table["key"].combine_chunks()).view(np.uint64) >> shift
-        cut = int(np.searchsorted(roots, roots[-1]))
+        other = np.flatnonzero(roots != roots[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
             yield table.slice(0, cut)
         rest = table.slice(cut)
@@ -253,12 +306,18 @@ def _lengths(depth: int, top: Top):
         for table in _by_subtree(batches, depth):
             keys, n, row = _counted(table)
             value = log10_of_grams(keys, n, depth, top)
-            out = pa.table({"block": table["block"], "kind": pa.array(np.zeros(len(row), np.int8)), "key": table["key"], "value": value[row]})
-            yield from out.combine_chunks().to_batches()
+            yield from _packed(np.asarray(table["block"].combine_chunks()), 0, keys[row], value[row], 0)
 
     return lengths
 
 
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words' training counts over all blocks, from rows sorted by key."""
+    for table in _by_subtree(batches, 1):
+        keys, n, row = _counted(table)
+        yield from _packed(np.asarray(table["block"].combine_chunks()), 1, keys[row], n[row].astype(np.float64), int((n > 0).sum()))
+
+
 # ---------------------------------------------------------------- scoring
 
 
@@ -286,8 +345,7 @@ class Lookup:
 
 def _score(depth: int, tokens: int, words: int, ends: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(docs: pa.Table, model: pa.Table) -> pa.Table:
-        kind, key, value = (np.asarray(model[c].combine_chunks()) for c in ("kind", "key", "value"))
-        look = [Lookup(key[kind == k].view(np.uint64), value[kind == k]) for k in (0, 1)]
+        look = [Lookup(*_unpacked(model, k)) for k in (0, 1)]
         data, offs = utf8(docs["text"])
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         rest = math.log10(tokens + words + 1)
@@ -295,7 +353,7 @@ def _score(depth: int, tokens: int, words: int, ends: int) -> Callable[[pa.Table
         for i, j in pieces(offs):
             part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             starts, stops, first = word_spans(part, at)
-            count = look[1](span_hashes(part, starts, stops))
+            count = look[1](span_hashes(FOLD[part], starts, stops))
             sums = lambda x, o: np.diff(np.concatenate([[0], np.cumsum(x)])[o])
             out["n_tokens"].append(np.diff(first) + 1)
             out["n_known"].append(sums(count > 0, first).astype(np.int64) + (ends > 0))
@@ -321,15 +379,16 @@ def ctw_scores(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataF
 
     mine = asked.where("kind = 0").select("block", "key", "n").repartition(F.shiftright("key", 8 * (depth - 1))).sortWithinPartitions("key")
     roots = mine.mapInArrow(_roots(depth), "byte int, node int, zeros long, ones long, pw double")
-    top = roots.groupBy("byte", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("pw").alias("pw")).toArrow()  # at most 256 x 255 rows
+    roots = roots.groupBy("byte", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("pw").alias("pw"))
+    top = scratch.table(roots, "roots").toArrow()  # at most 256 x 255 rows
     top = Top(*[top[c].to_numpy() for c in ("byte", "node", "zeros", "ones", "pw")])
-    lengths = mine.mapInArrow(_lengths(depth, top), "block long, kind byte, key long, value double")
+    lengths = scratch.table(mine.mapInArrow(_lengths(depth, top), PACKED), "lengths")
 
-    words = asked.where("kind = 1")
-    totals = words.groupBy("key").agg(F.sum("n").alias("value"))
-    tokens, distinct = totals.agg(F.coalesce(F.sum("value"), F.lit(0)), F.count_if(F.col("value") > 0)).first()
-    counts = words.select("block", "kind", "key").join(totals.hint("merge"), "key").select("block", "kind", "key", F.col("value").cast("double").alias("value"))
-    tokens, distinct = tokens + ends, distinct + (ends > 0)
+    words = asked.where("kind = 1").select("block", "key", "n")
+    counts = scratch.table(words.repartition("key").sortWithinPartitions("key").mapInArrow(_counts, PACKED), "counts")
+    tokens = asked.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + ends
+    distinct = counts.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] + (ends > 0)
+    scratch.drop("asked")
 
     schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double"
     model = lengths.unionAll(counts)
