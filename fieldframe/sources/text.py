@@ -258,7 +258,7 @@ def parse(df: DataFrame, text: str, *keys: str, options: Options | None = None,
             for t in batch.column(text).to_pylist():
                 try:
                     rec = read(t or "", o)
-                    rows.append(values.field_rows(rec))
+                    rows.append(rec)
                     shown.append(values.record_text(rec))
                     errors.append(None)
                 except RecordError as e:
@@ -267,7 +267,7 @@ def parse(df: DataFrame, text: str, *keys: str, options: Options | None = None,
                     rows.append(None)
                     shown.append(None)
                     errors.append(e.row)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(rows, fields), pa.array(shown, pa.string()), pa.array(errors, error)], [*keys, out, "canonical", "error"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], values.fields_array(rows, fields), pa.array(shown, pa.string()), pa.array(errors, error)], [*keys, out, "canonical", "error"])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

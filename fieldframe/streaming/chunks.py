@@ -32,7 +32,8 @@ def reassemble(frames: DataFrame, *keys: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("seq", "kind", "payload"))).alias("_f"), F.max("_bad").alias("_bad"), F.count_if(F.col("kind") == "Begin").alias("_begins"), F.count_if(F.col("kind") == "End").alias("_ends"), F.max_by("kind", "seq").alias("_last"), F.min_by("kind", "seq").alias("_first"), F.max("seq").alias("_max"), F.count_distinct("seq").alias("_n")
     )
     error = F.when((F.col("_begins") == 0) | (F.col("_first") != "Begin"), "StreamNotStarted").when(F.col("_begins") > 1, "UnexpectedFrame").when(F.col("_bad"), "ChecksumMismatch").when((F.col("_ends") == 0) | (F.col("_last") != "End"), "StreamNotComplete").when(F.col("_n") != F.col("_max") + 1, "MissingChunk")
-    whole = F.unhex(F.array_join(F.transform(F.filter("_f", lambda x: x["kind"] == "Chunk"), lambda x: F.hex(x["payload"])), ""))
+    # bytes are joined as they are: a cast to string neither checks nor changes them
+    whole = F.array_join(F.transform(F.filter("_f", lambda x: x["kind"] == "Chunk"), lambda x: x["payload"].cast("string")), "").cast("binary")
     out = found.withColumn("error", error).withColumn("payload", F.when(F.col("error").isNull(), F.coalesce(whole, F.lit(b""))))
     return out.select(*keys, "payload", F.octet_length("payload").cast("long").alias("total_bytes"), "error")
 
