@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 # Weights, penalties and defaults.
 RISKS = ("Low", "Medium", "High", "Critical")
 PENALTY = (1.0, 0.8, 0.5, 0.1)
@@ -74,6 +76,35 @@ def with_profile(df: DataFrame, now_ms: int, scorer: Scorer | None = None, times
     return df.withColumn("score", composite(F.col("freshness"), F.col("importance"), F.col("confidence"), F.col("risk"), s.weights))
 
 
+def score_record(fields: DataFrame, importance: DataFrame, *keys: str, scorer: Scorer | None = None) -> DataFrame:
+    """keys, freshness, importance, risk, confidence, score and hints of records without an envelope, from their field
+    table: the largest importance of their fields, neutral freshness and confidence, and the hint field_count.
+    importance: (fid, importance), at most 65,536 ids."""
+    s = scorer or Scorer()
+    found = fields.join(F.broadcast(importance), "fid", "left").groupBy(*keys).agg(F.coalesce(F.max("importance"), F.lit(s.importance)).cast("int").alias("importance"), F.count("*").alias("_n"))
+    half = F.lit(0.5)
+    found = found.withColumns({"freshness": half, "risk": F.lit(0), "confidence": half, "hints": F.create_map(F.lit("field_count"), F.col("_n").cast("string"))})
+    return found.withColumn("score", composite(half, F.col("importance"), half, F.col("risk"), s.weights)).drop("_n")
+
+
+def score_combined(envelopes: DataFrame, records: DataFrame, now_ms: int, *keys: str, scorer: Scorer | None = None) -> DataFrame:
+    """Envelopes (keys, timestamp_ms, source, and hints if there are any) with their records' profiles (score_record):
+    the record's importance takes the default's place, and its hints are merged over the envelope's."""
+    s = scorer or Scorer()
+    own = envelopes if "hints" in envelopes.columns else envelopes.withColumn("hints", F.create_map().cast("map<string,string>"))
+    theirs = records.select(*keys, F.col("importance").alias("_importance"), F.col("hints").alias("_hints"))
+    out = with_profile(own.join(theirs, list(keys), "left"), now_ms, s, importance="_importance")
+    over = F.coalesce(F.col("_hints"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(F.col("hints"), lambda k, v: ~F.array_contains(F.map_keys(over), k))
+    return out.withColumn("hints", F.map_concat(kept, over)).drop("_importance", "_hints")
+
+
+def rank_within(df: DataFrame, key: str, *order: str, cells: int = 1000) -> DataFrame:
+    """Adds rank: the place by score among a key's rows, best first; `order` settles ties. Scores are cut into cells, so
+    a key's rows are sorted by many tasks."""
+    return ordered.numbered(df, [key], -F.floor(F.col("score") * cells), F.desc("score"), *order)
+
+
 def by_threshold(df: DataFrame, least: float) -> DataFrame:
     return df.where(F.col("score") >= least)
 

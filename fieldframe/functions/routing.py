@@ -44,6 +44,16 @@ def is_expired(timestamp_ms: Column, ttl_ms: Column, now_ms: Column) -> Column:
     return age_ms(timestamp_ms, now_ms) > ttl_ms
 
 
+def expiry_error(timestamp_ms: Column) -> Column:
+    """Whether a message is too old can't be told without its time."""
+    return F.when(timestamp_ms.isNull(), "MissingTimestamp")
+
+
+def quality_of_service(kind: Column, priority: Column, ttl_ms: Column) -> Column:
+    """struct<priority, ttl_ms>: what is given, else the kind's own."""
+    return F.struct(F.coalesce(priority, default_priority(kind)).alias("priority"), F.coalesce(ttl_ms, default_ttl_ms(kind)).alias("ttl_ms"))
+
+
 def is_expired_at(expires_at: Column, now_ms: Column) -> Column:
     """By an absolute time; equal instants have expired."""
     return F.coalesce(expires_at <= now_ms, F.lit(False))
@@ -56,7 +66,8 @@ def base_importance(priority: Column, timestamp_ms: Column, source: Column, now_
 
 
 def route(kind: Column, priority: Column, expired: Column, importance: Column, threshold: float = 0.7, alerts: bool = True, drop_expired: bool = True) -> Column:
-    decision = F.when(F.coalesce(expired, F.lit(False)), DROP) if drop_expired else F.when(F.lit(False), DROP)
+    """Null where expiry is asked for and can't be told (expiry_error)."""
+    decision = F.when(expired.isNull(), F.lit(None)).when(expired, DROP) if drop_expired else F.when(F.lit(False), DROP)
     if alerts:
         decision = decision.when((kind == "Alert") & (priority > 200), LLM)
     return decision.when(kind.isin("Event", "State") & (importance >= threshold), LLM).otherwise(LOCAL)
@@ -90,9 +101,20 @@ class Rule:
         return F.coalesce(test, F.lit(False))
 
 
+def critical_to_llm(field: str) -> Rule:
+    """Messages whose field says `critical`."""
+    return Rule(field, "equals", "critical", LLM)
+
+
+def drop_spam(field: str) -> Rule:
+    """Messages whose field contains `spam`."""
+    return Rule(field, "contains", "spam", DROP)
+
+
 def route_by_content(df: DataFrame, rules: list[Rule], kind: Column, priority: Column, expired: Column, threshold: float = 0.7) -> Column:
-    """Expired first, then the first rule that holds, then alerts, then priority / 255 against the threshold."""
-    decision = F.when(F.coalesce(expired, F.lit(False)), DROP)
+    """Expired first (null where that can't be told), then the first rule that holds, then alerts, then priority / 255
+    against the threshold."""
+    decision = F.when(expired.isNull(), F.lit(None)).when(expired, DROP)
     for r in rules:
         decision = decision.when(r.holds(df[r.field]), r.decision)
     decision = decision.when((kind == "Alert") & (priority > 200), LLM)

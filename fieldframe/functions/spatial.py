@@ -71,6 +71,22 @@ def moved(old: Column, change: Column, names: tuple[str, ...] = AXES) -> Column:
     return F.when(change.isNull(), old).otherwise(_map(names, lambda a, d: a + d, old, change))
 
 
+PARTS = {"position": AXES, "rotation": TURNS, "velocity": AXES, "acceleration": AXES}
+
+
+def state_delta(old: Column, new: Column) -> Column:
+    """Of states struct<position, rotation, velocity, acceleration>, each part null or there: position and rotation as
+    differences where both sides have them, else null; velocity and acceleration as the new side has them."""
+    part = lambda name: F.when(old[name].isNotNull() & new[name].isNotNull(), difference(old[name], new[name], PARTS[name]))
+    return F.struct(*[(part(n) if n in ("position", "rotation") else new[n]).alias(n) for n in PARTS])
+
+
+def state_moved(old: Column, change: Column) -> Column:
+    """The state after state_delta's change: parts that it has not stay as they were."""
+    part = lambda name: F.when(old[name].isNull(), old[name]).otherwise(moved(old[name], change[name], PARTS[name]))
+    return F.struct(*[(part(n) if n in ("position", "rotation") else F.coalesce(change[n], old[n])).alias(n) for n in PARTS])
+
+
 def predicted(pos: Column, velocity: Column, seconds: float = 0.001) -> Column:
     return F.when(velocity.isNull(), pos).otherwise(_map(AXES, lambda p, v: p + v * seconds, pos, velocity))
 

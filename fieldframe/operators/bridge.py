@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import fmt
+from ..functions import fmt, ordered
 from . import records
 
 
@@ -59,12 +58,14 @@ def short_id(name: Column) -> Column:
     return F.when(size == 0, "x").when(size <= 3, F.lower(name)).otherwise(F.concat(F.lower(F.substring(name, 1, 1)), size.cast("string")))
 
 
-def short_ids(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds base, short_id (later names of one base get its number) and collides."""
-    w = W.partitionBy("base")
-    n = F.row_number().over(w.orderBy(order)) - 1
+def short_ids(df: DataFrame, name: str, order: str, cell: int = 4096) -> DataFrame:
+    """Adds base, short_id (later names of one base get its number) and collides. order: a number; rows are numbered in
+    cells of it, as a base can have any share of all names."""
     out = df.withColumn("base", short_id(F.col(name)))
-    return out.withColumns({"short_id": F.when(n == 0, F.col("base")).otherwise(F.concat(F.col("base"), n.cast("string"))), "collides": F.count("*").over(w) > 1})
+    out = ordered.numbered(out, ["base"], F.floor(F.col(order) / cell), order, out="_n")
+    sizes = out.groupBy("base").agg((F.count("*") > 1).alias("collides"))
+    n = F.col("_n") - 1
+    return out.join(sizes, "base").withColumn("short_id", F.when(n == 0, F.col("base")).otherwise(F.concat(F.col("base"), n.cast("string")))).drop("_n")
 
 
 # ---------------------------------------------------------------- prompts

@@ -31,6 +31,24 @@ def apply(base: DataFrame, ops: DataFrame, keys: list[str], value: str, strict:
     return both.select(*keys, F.when(F.col("op").isNull(), F.col("_old")).otherwise(F.col("_new")).alias(value), error.alias("error"))
 
 
+def top_level(ops: DataFrame, *keys: str, path: str = "path") -> DataFrame:
+    """Operations on a nested field table (keys, path, fid, op) as those on the records' own fields: one (keys, fid, op,
+    n). Changes inside a record that both sides have are one Merge of it; n is how many."""
+    inside = F.size(path) > 0
+    top = F.when(inside, F.get(path, F.lit(0))).otherwise(F.col("fid"))
+    found = ops.select(*keys, top.alias("fid"), F.when(~inside, F.col("op")).alias("_own"))
+    return found.groupBy(*keys, "fid").agg(F.coalesce(F.max("_own"), F.lit("Merge")).alias("op"), F.count("*").alias("n"))
+
+
+def merge_error(base: DataFrame, ops: DataFrame, *keys: str) -> DataFrame:
+    """keys, fid and error of top_level operations that can't be applied to a base's own fields (keys, fid, tag): Merge
+    and Update without the field are InvalidTargetFid, Merge of what is no record MergeConflict."""
+    tags = base.select(*keys, "fid", F.col("tag").alias("_tag"))
+    both = ops.where("op in ('Merge', 'Update')").join(tags, [*keys, "fid"], "left")
+    error = F.when(F.col("_tag").isNull(), "InvalidTargetFid").when((F.col("op") == "Merge") & (F.col("_tag") != "r"), "MergeConflict")
+    return both.withColumn("error", error).where("error is not null").select(*keys, "fid", "error")
+
+
 def op_counts(ops: DataFrame, *keys: str) -> DataFrame:
     return ops.groupBy(*keys, "op").agg(F.count("*").alias("n"))
 

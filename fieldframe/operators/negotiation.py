@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The value types that a peer of each version reads (tags of the binary format).
+SUPPORTED = {4: ("i", "f", "b", "s", "sa"), 5: ("i", "f", "b", "s", "sa", "r", "ra")}
+
+
+def supports_type(version: Column, tag: Column) -> Column:
+    """Whether a peer of that version reads values of that type; unknown versions read none."""
+    out = F.lit(False)
+    for v, tags in SUPPORTED.items():
+        out = F.when(version == v, tag.isin(*tags)).otherwise(out)
+    return out
+
+
 def intersect_features(local: Column, remote: Column, names: list[str]) -> Column:
     """struct of flags: supports_* where both have it, requires_* where either does."""
     both = lambda n: (local[n] & remote[n]) if n.startswith("supports_") else (local[n] | remote[n])

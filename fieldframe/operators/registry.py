@@ -128,9 +128,30 @@ def breaking_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def version_key(v: Column) -> Column:
-    """A version as a struct that orders like its three numbers."""
-    parts = F.split(v, r"\.")
-    return F.struct(*[F.coalesce(F.get(parts, F.lit(k)).try_cast("int"), F.lit(0)).alias(f"v{k}") for k in range(3)])
+    """A version as a struct that orders like its first three numbers; parts that are none are passed over."""
+    parts = F.filter(F.transform(F.split(v, r"\."), lambda p: F.when(p.rlike("^[+]?[0-9]+$"), p).try_cast("int")), lambda n: n.isNotNull())
+    return F.struct(*[F.coalesce(F.get(parts, F.lit(k)), F.lit(0)).alias(f"v{k}") for k in range(3)])
+
+
+def entries(registry: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The registry's entries of the wanted ids (fid)."""
+    return registry.join(wanted.select("fid").distinct(), "fid", "left_semi").select(*registry.columns)
+
+
+# Other spellings of the expected types.
+TYPE_SPELLINGS = {"Int": ("int", "integer"), "Float": ("float", "double"), "Bool": ("bool", "boolean"), "String": ("string", "str"), "StringArray": ("stringarray", "string_array"), "IntArray": ("intarray", "int_array"), "FloatArray": ("floatarray", "float_array"), "BoolArray": ("boolarray", "bool_array"), "Record": ("record", "nestedrecord", "nested_record"), "RecordArray": ("recordarray", "record_array", "nestedarray"), "Any": ("any",)}
+
+
+def parse_type(s: Column) -> Column:
+    """The expected type's name by any of its spellings, in any case; null for none."""
+    out = F.lit(None).cast("string")
+    for name, words in TYPE_SPELLINGS.items():
+        out = F.when(F.lower(s).isin(*words), name).otherwise(out)
+    return out
+
+
+def parse_status(s: Column) -> Column:
+    return F.when(F.upper(s).isin(*STATUSES), F.upper(s))
 
 
 def peers(peer_versions: DataFrame, local: str) -> DataFrame:
@@ -153,13 +174,21 @@ def importance_by_record(fields: DataFrame, importance: DataFrame, *keys: str, d
     return found.groupBy(*keys).agg(F.coalesce(F.max("importance"), F.lit(default)).alias("importance"))
 
 
+#: Entries of a table of equivalences that may be broadcast; larger ones are joined by key.
+MOST_BROADCAST = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def normalize_strings(fields: DataFrame, equivalences: DataFrame, case: str | None = None) -> DataFrame:
     """String fields with their dictionary's value: exact first, then trimmed and in lower case, then the case rule.
     equivalences: (fid, from, to)."""
     exact = equivalences.select(F.col("fid").alias("_f1"), F.col("from").alias("_from1"), F.col("to").alias("_to1"))
     loose = equivalences.groupBy("fid", F.lower(F.trim("from")).alias("_k")).agg(F.min("to").alias("_to2")).select(F.col("fid").alias("_f2"), F.col("_k").alias("_from2"), "_to2")
-    out = fields.join(F.broadcast(exact), (F.col("fid") == F.col("_f1")) & (F.col("s") == F.col("_from1")), "left")
-    out = out.join(F.broadcast(loose), (F.col("fid") == F.col("_f2")) & (F.lower(F.trim("s")) == F.col("_from2")), "left")
+    out = fields.join(_small(exact), (F.col("fid") == F.col("_f1")) & (F.col("s") == F.col("_from1")), "left")
+    out = out.join(_small(loose), (F.col("fid") == F.col("_f2")) & (F.lower(F.trim("s")) == F.col("_from2")), "left")
     rule = {"lower": F.lower, "upper": F.upper}.get(case, lambda s: s)
     return out.withColumn("s", F.when(F.col("tag") == "s", F.coalesce("_to1", "_to2", rule(F.col("s")))).otherwise(F.col("s"))).drop("_f1", "_from1", "_to1", "_f2", "_from2", "_to2")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import checksum, context, fmt, routing, spatial, transport, vectors
+from ..functions import checksum, context, fmt, ordered, routing, spatial, transport, vectors
 from ..operators import bridge, delta, negotiation, records, registry
 from ..sources import binary, container, text
 from ..streaming import chunks, messages, receiver
@@ -71,8 +71,7 @@ def ctx_risk_filter(spark, sf_dir):
 
 @query(f"WITH {CTX} SELECT doc_id, lang, round(score, 6) AS score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rank FROM scored")
 def ctx_rank(spark, sf_dir):
-    s = _scored(spark, sf_dir)
-    return s.select("doc_id", "lang", _r("score").alias("score"), F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), "doc_id")).alias("rank"))
+    return context.rank_within(_scored(spark, sf_dir), "lang", "doc_id").select("doc_id", "lang", _r("score").alias("score"), "rank")
 
 
 @query(f"""WITH {CTX} SELECT count(*) AS n, round(avg(freshness), 6) AS avg_freshness, (sum(importance) // count(*))::BIGINT AS avg_importance, round(avg(confidence), 6) AS avg_confidence,
@@ -147,10 +146,10 @@ def net_conditions(spark, sf_dir):
     return m.select("event_id", rule("k", "above", 50).alias("above"), rule("k", "below", 10).alias("below"), rule("source", "contains", "c-1").alias("has"), rule("k", "exists").alias("there"))
 
 
-@query(f"""WITH {ROUTED} SELECT (timestamp_ms // 86400000) * 86400000 AS day_ms, kind, count(*) AS n, round(count(*) FILTER (decision = 'Drop') / count(*), 6) AS drop_rate, round(count(*) FILTER (decision = 'SendToLLM') / count(*), 6) AS llm_rate FROM routed GROUP BY ALL""")
+@query(f"""WITH {ROUTED} SELECT (timestamp_ms // 86400000) * 86400000 AS day_ms, kind, count(*) AS n, round(count(*) FILTER (decision = 'Drop') / count(*), 6) AS drop_rate, round(count(*) FILTER (decision = 'SendToLLM') / count(*), 6) AS llm_rate, quantile_disc(age_ms, 0.99)::BIGINT AS age_p99 FROM routed GROUP BY ALL""")
 def net_metrics_window(spark, sf_dir):
     day = F.unix_millis(F.window(F.timestamp_millis("timestamp_ms"), "1 day")["start"]).alias("day_ms")
-    return routing.metrics(_routed(spark, sf_dir), day, F.col("kind")).select("day_ms", "kind", "n", _r("drop_rate").alias("drop_rate"), _r("llm_rate").alias("llm_rate"))
+    return routing.metrics(_routed(spark, sf_dir), day, F.col("kind")).select("day_ms", "kind", "n", _r("drop_rate").alias("drop_rate"), _r("llm_rate").alias("llm_rate"), "age_p99")
 
 
 @query(f"WITH {MSG} SELECT CASE WHEN priority <= 50 THEN 'low' WHEN priority <= 200 THEN 'normal' ELSE 'high' END AS band, count(*) AS n FROM msg GROUP BY ALL")
@@ -160,8 +159,8 @@ def net_bands(spark, sf_dir):
 
 @query(f"WITH {MSG}, s AS (SELECT source, timestamp_ms, event_id, k, lag(k) OVER (PARTITION BY source ORDER BY timestamp_ms, event_id) AS before FROM msg WHERE kind = 'State') SELECT event_id, source, k FROM s WHERE before IS DISTINCT FROM k")
 def net_state_changes(spark, sf_dir):
-    before = F.lag("k").over(W.partitionBy("source").orderBy("timestamp_ms", "event_id"))
-    return t.msg(spark, sf_dir).where("kind = 'State'").withColumn("b", before).where("b is distinct from k").select("event_id", "source", "k")
+    states = ordered.previous(t.msg(spark, sf_dir).where("kind = 'State'"), ["source"], F.floor(F.col("timestamp_ms") / 86400000), "k", "timestamp_ms", "event_id", out="b")
+    return states.where("b is distinct from k").select("event_id", "source", "k")
 
 
 @query(f"""WITH {MSG}, s AS (SELECT source, timestamp_ms, CASE WHEN timestamp_ms - lag(timestamp_ms) OVER w < 1800000 THEN 0 ELSE 1 END AS new, event_id FROM msg WINDOW w AS (PARTITION BY source ORDER BY timestamp_ms, event_id)),
@@ -198,10 +197,11 @@ def vec_knn(spark, sf_dir):
     return p.withColumn("rank", rank).where("rank <= 10").select("q", "v", "rank")
 
 
-@query("SELECT vec_id, round(list_aggregate(list_transform(embedding::DOUBLE[], lambda x: x * x), 'sum'), 4) AS squared, 1e0 AS unit FROM embeddings")
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)
+  SELECT vec_id, round(n * n, 4) AS squared, round(sqrt(list_sum(list_transform(e, lambda x: ((x / n)::FLOAT)::DOUBLE ** 2))), 4) AS unit, round((e[1] / n)::FLOAT::DOUBLE, 5) AS first, round((e[64] / n)::FLOAT::DOUBLE, 5) AS last FROM n""")
 def vec_normalize(spark, sf_dir):
     n = vectors.normalize(F.col("embedding"))
-    return t.vec(spark, sf_dir).select("vec_id", _r(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared"), _r(vectors.norm(n), 4).alias("unit"))
+    return t.vec(spark, sf_dir).select("vec_id", _r(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared"), _r(vectors.norm(n), 4).alias("unit"), *[_r(F.get(n, F.lit(k)).cast("double"), 5).alias(c) for k, c in ((0, "first"), (63, "last"))])
 
 
 def _deltas(spark, sf_dir):
@@ -243,14 +243,19 @@ def quant_int4(spark, sf_dir):
     return t.vec(spark, sf_dir).select("vec_id", vectors.quantize_int4(F.col("embedding"))["data"].alias("data"))
 
 
-@query()
+BACK = f"""{INT8}, b8 AS (SELECT vec_id, list_max(list_transform(list_zip(e, codes), lambda p: abs(p[1]::DOUBLE - ((((p[2] + 128)::FLOAT * scale)::FLOAT + low)::FLOAT)::DOUBLE))) / scale AS steps8 FROM q),
+  {INT4.replace('s AS', 's4 AS').replace('q AS (SELECT vec_id', 'q4 AS (SELECT *').replace('FROM s)', 'FROM s4)')}, b4 AS (SELECT vec_id, list_max(list_transform(list_zip(e, c), lambda p: abs(p[1]::DOUBLE - (((p[2]::FLOAT * scale)::FLOAT + low)::FLOAT)::DOUBLE))) / scale AS steps4 FROM q4),
+  m AS (SELECT vec_id, len(list_filter(embedding, lambda x: x >= mean)) AS above FROM (SELECT vec_id, embedding, (list_reduce([0::FLOAT] || embedding, lambda s, x: (s + x)::FLOAT) / 64)::FLOAT AS mean FROM embeddings))"""
+
+
+@query(f"WITH {BACK} SELECT vec_id, round(steps8, 3) AS int8_steps, round(steps4, 3) AS int4_steps, steps8 <= 1.001e0 AS int8_ok, steps4 <= 0.501e0 AS int4_ok, (2 * above - 64)::DOUBLE AS binary_sum FROM b8 JOIN b4 USING (vec_id) JOIN m USING (vec_id)")
 def quant_roundtrip(spark, sf_dir):
-    """Largest error of each scheme, in steps of its scale: at most one for int8, half for int4."""
+    """Largest error of each scheme, in steps of its scale: at most one for int8, half for int4; the sum of binary's signs."""
     e = F.col("embedding")
     v = t.vec(spark, sf_dir).withColumns({"q8": vectors.quantize_int8(e), "q4": vectors.quantize_int4(e), "q1": vectors.quantize_binary(e)})
-    err = lambda back: F.array_max(F.zip_with(e, back, lambda x, y: F.abs(x - y)))
-    signs = F.zip_with(vectors.dequantize_binary(F.col("q1")), e, lambda s, x: (s > 0) == (x >= F.col("q1.min")))
-    return v.select("vec_id", (err(vectors.dequantize_int8(F.col("q8"))) / F.col("q8.scale") <= 1.001).alias("int8_ok"), (err(vectors.dequantize_int4(F.col("q4"))) / F.col("q4.scale") <= 0.501).alias("int4_ok"), F.forall(signs, lambda x: x).alias("binary_ok"))
+    steps = lambda back, q: F.array_max(F.zip_with(e, back, lambda x, y: F.abs(x.cast("double") - y.cast("double")))) / F.col(f"{q}.scale").cast("double")
+    v = v.select("vec_id", steps(vectors.dequantize_int8(F.col("q8")), "q8").alias("s8"), steps(vectors.dequantize_int4(F.col("q4")), "q4").alias("s4"), F.aggregate(vectors.dequantize_binary(F.col("q1")), F.lit(0.0), lambda s, x: s + x).alias("binary_sum"))
+    return v.select("vec_id", _r("s8", 3).alias("int8_steps"), _r("s4", 3).alias("int4_steps"), (F.col("s8") <= 1.001).alias("int8_ok"), (F.col("s4") <= 0.501).alias("int4_ok"), "binary_sum")
 
 
 @query("""WITH m AS (SELECT vec_id, embedding AS e, (list_reduce([0::FLOAT] || embedding, lambda s, x: (s + x)::FLOAT) / 64)::FLOAT AS mean FROM embeddings)
@@ -590,20 +595,23 @@ def spa_transform(spark, sf_dir):
     return t.pos(spark, sf_dir).select("l_orderkey", "l_linenumber", q.alias("q")).select("l_orderkey", "l_linenumber", *[_r(f"q.{n}").alias(n) for n in spatial.AXES])
 
 
-@query("""WITH b AS (SELECT l_suppkey, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1, min(l_tax) AS z0, max(l_tax) AS z1 FROM lineitem WHERE l_linenumber = 7 GROUP BY l_suppkey)
-  SELECT a.l_suppkey AS a, c.l_suppkey AS b FROM b a JOIN b c ON a.l_suppkey < c.l_suppkey AND a.x0 <= c.x1 AND a.x1 >= c.x0 AND a.y0 <= c.y1 AND a.y1 >= c.y0 AND a.z0 <= c.z1 AND a.z1 >= c.z0""")
+@query("""WITH b AS (SELECT l_orderkey, l_extendedprice - 2 AS x0, l_extendedprice + 2 AS x1, l_quantity - 1 AS y0, l_quantity + 1 AS y1, l_suppkey - 20 AS z0, l_suppkey + 20 AS z1, floor(l_extendedprice / 8)::BIGINT AS c FROM lineitem),
+  n AS (SELECT b.*, c + d AS near FROM b, (VALUES (-1), (0), (1)) v(d))
+  SELECT a.l_orderkey AS a, n.l_orderkey AS b, count(*) AS n FROM b a JOIN n ON a.c = n.near AND a.l_orderkey < n.l_orderkey AND a.x0 <= n.x1 AND a.x1 >= n.x0 AND a.y0 <= n.y1 AND a.y1 >= n.y0 AND a.z0 <= n.z1 AND a.z1 >= n.z0 GROUP BY 1, 2""")
 def spa_bbox_join(spark, sf_dir):
-    """Suppliers whose boxes meet. Boxes are cut into cells along x, an equi-join finds those that share a cell, and a
-    pair counts in its first shared cell only; the theta condition is checked on that."""
-    li = t.table(spark, sf_dir, "lineitem").where("l_linenumber = 7")
-    corner = lambda f: F.struct(f("l_quantity").alias("x"), f("l_extendedprice").alias("y"), f("l_tax").alias("z"))
-    boxes = li.groupBy("l_suppkey").agg(F.struct(corner(F.min).alias("min"), corner(F.max).alias("max")).alias("box"))
-    cell = lambda v: F.floor(v / 10.0)
+    """Orders that have lines whose boxes meet, over all lines. Boxes are cut into cells along x, an equi-join finds those
+    that share a cell, and a pair counts in its first shared cell only; the theta condition is checked on that."""
+    li = t.spread(t.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", "l_suppkey"))
+    at = {"x": (F.col("l_extendedprice"), 2), "y": (F.col("l_quantity"), 1), "z": (F.col("l_suppkey"), 20)}
+    corner = lambda sign: F.struct(*[(v + sign * w).alias(n) for n, (v, w) in at.items()])
+    boxes = li.select("l_orderkey", F.struct(corner(-1).alias("min"), corner(1).alias("max")).alias("box"))
+    cell = lambda v: F.floor(v / 8.0)
     cells = boxes.withColumn("cell", F.explode(F.sequence(cell(F.col("box.min.x")), cell(F.col("box.max.x")))))
     a, b = cells.alias("a"), cells.alias("b")
     first = F.greatest(cell(F.col("a.box.min.x")), cell(F.col("b.box.min.x")))
-    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey")) & (F.col("a.cell") == first)
-    return a.join(b, on & spatial.boxes_meet(F.col("a.box"), F.col("b.box"))).select(F.col("a.l_suppkey").alias("a"), F.col("b.l_suppkey").alias("b"))
+    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey")) & (F.col("a.cell") == first)
+    met = a.join(b, on & spatial.boxes_meet(F.col("a.box"), F.col("b.box")))
+    return met.groupBy(F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b")).agg(F.count("*").alias("n"))
 
 
 STEPS = f"{POS}, p AS (SELECT *, row_number() OVER w - 1 AS seq, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM pos WINDOW w AS (PARTITION BY l_orderkey ORDER BY {LINE_SQL}))"
@@ -640,15 +648,8 @@ def _frames(spark, sf_dir):
     return s.select("l_orderkey", "seq", mode.alias("mode"), sent["x"].alias("x"), sent["y"].alias("y"), sent["z"].alias("z"), none.alias("vx"), none.alias("vy"), none.alias("vz"), F.lit(True).alias("ok"))
 
 
-@query(f"WITH {STEPS} SELECT l_orderkey, seq, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, FALSE AS predicted, NULL::VARCHAR AS error FROM p WHERE l_orderkey % 10 = 0")
-def spa_receiver(spark, sf_dir):
-    """Sent frames, received again: every tenth order is a stream."""
-    out = receiver.run_batch(_frames(spark, sf_dir).where("l_orderkey % 10 = 0"), "l_orderkey", "seq", receiver.receive, receiver.STATE_OUT)
-    return out.select("l_orderkey", "seq", *[_r(n, 4).alias(n) for n in spatial.AXES], "predicted", "error")
-
-
 @query(f"WITH {STEPS} SELECT l_orderkey, seq, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, FALSE AS predicted, NULL::VARCHAR AS error FROM p")
-def spa_receiver_all(spark, sf_dir):
+def spa_receiver(spark, sf_dir):
     """Sent frames, received again: every order is a stream."""
     out = receiver.run_batch(_frames(spark, sf_dir), "l_orderkey", "seq", receiver.receive, receiver.STATE_OUT)
     return out.select("l_orderkey", "seq", *[_r(n, 4).alias(n) for n in spatial.AXES], "predicted", "error")
@@ -705,10 +706,12 @@ def bin_selective(spark, sf_dir):
     return got.select("rec_id", F.get("fields", F.lit(0))["i"].alias("user_id"))
 
 
-@query("SELECT vec_id, TRUE AS close FROM embeddings")
+@query("""WITH h AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0e0 ELSE round_even(x / (2e0 ** (greatest(floor(log2(abs(x))), -14) - 10)), 0) * (2e0 ** (greatest(floor(log2(abs(x))), -14) - 10)) END) AS h FROM embeddings)
+  SELECT vec_id, round(list_sum(h), 6) AS total, round(h[1], 6) AS first, round(h[64], 6) AS last FROM h""")
 def fp16_roundtrip(spark, sf_dir):
     back = t.vec(spark, sf_dir).select("vec_id", "embedding", binary.half_floats(F.col("embedding")).alias("h")).withColumn("b", binary.from_half_floats(F.col("h")))
-    return back.select("vec_id", (F.array_max(F.zip_with("embedding", "b", lambda x, y: F.abs(x - y))) < 0.002).alias("close"))
+    total = F.aggregate("b", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return back.select("vec_id", _r(total).alias("total"), *[_r(F.get("b", F.lit(k)).cast("double")).alias(c) for k, c in ((0, "first"), (63, "last"))])
 
 
 @query("SELECT doc_id, sha256(text) AS sha, strlen(text) AS total_bytes, NULL::VARCHAR AS error FROM documents")
@@ -745,3 +748,6 @@ def container_header(spark, sf_dir):
     tail = F.when(F.col("p_partkey") % 3 == 1, F.lit("00")).otherwise(F.lit("0000000000"))
     data = F.unhex(F.concat(magic, F.lit("0101000000000004"), tail))
     return t.table(spark, sf_dir, "part").select("p_partkey", container.header(data).alias("h")).select("p_partkey", "h.*")
+
+
+from . import codec_queries  # noqa: E402, F401  it adds its own
