@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents in, packed sequences out. Each stage is one operator over all that is left."""
+"""The corpus pipeline: documents in, packed sequences out. Each stage is one operator over all that is left.
+
+Cases, in every stage: null and empty texts stay documents (the classifier scores them, they have no lines, no shingles
+and one token); a null doc_id stays, and the quality and near-duplicate stages, which drop by doc_id, never drop it; rows
+that repeat a doc_id are dropped or kept together by those two; an empty table gives an empty one; texts of any length are
+read whole; further columns stay as they are, whatever their names, up to the last stage."""
 
 from __future__ import annotations
 

@@ -3,8 +3,13 @@ the data source `records`, which reads a folder of containers as rows and writes
 
 from __future__ import annotations
 
+import glob
+import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,11 +139,8 @@ class RecordsReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[_Part]:
-        import glob
-        import os
-
         path = self.options["path"]
-        files = sorted(glob.glob(os.path.join(path, "**", "*.rec"), recursive=True)) if os.path.isdir(path) else [path]
+        files = sorted(f for f in glob.glob(os.path.join(path, "**", "*.rec"), recursive=True) if "_attempts" not in f) if os.path.isdir(path) else [path]
         size = int(self.options.get("filesPerPartition", "1000"))
         return [_Part(files[k : k + size]) for k in range(0, len(files), size)] or [_Part([])]
 
@@ -153,22 +155,37 @@ class RecordsReader(DataSourceReader):
                 yield path, None, None, None, e.row["class"]
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+
+
 class RecordsWriter(DataSourceWriter):
+    """A task writes to a folder of its own attempt; only commit moves the files of the attempts that Spark has accepted
+    to the target, so a retried or speculative task leaves no record twice."""
+
     def __init__(self, options: dict):
         self.path, self.mode = options["path"], options.get("mode", "Binary")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
-        import uuid
-
-        os.makedirs(self.path, exist_ok=True)
-        for row in rows:
-            data = encode(read(row["canonical"], Options(normalize=False)), self.mode)
-            name = os.path.join(self.path, uuid.uuid4().hex)
-            with open(name + ".tmp", "wb") as f:
-                f.write(data)
-            os.replace(name + ".tmp", name + ".rec")
-        return WriterCommitMessage()
+        folder = os.path.join(self.path, "_attempts", uuid.uuid4().hex)
+        os.makedirs(folder)
+        for n, row in enumerate(rows):
+            with open(os.path.join(folder, f"{n:08d}.rec"), "wb") as f:
+                f.write(encode(read(row["canonical"], Options(normalize=False)), self.mode))
+        return _Written(folder)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        for m in messages:
+            for name in sorted(os.listdir(m.folder)) if m else []:
+                os.replace(os.path.join(m.folder, name), os.path.join(self.path, f"{os.path.basename(m.folder)}-{name}"))
+        self._clear()
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        shutil.rmtree(os.path.join(self.path, "_attempts"), ignore_errors=True)
 
 
 class RecordsSource(DataSource):

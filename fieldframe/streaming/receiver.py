@@ -4,11 +4,14 @@ over a table, `run_stream` over a stream, with a state of bounded size for each
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 PARTS = ("x", "y", "z")
 
@@ -111,17 +114,24 @@ def _frames(pdf: pd.DataFrame, order: str) -> Iterator[dict]:
 
 
 def run_batch(df: DataFrame, key: str, order: str, step: Step, out_schema: str) -> DataFrame:
-    """step over each key's rows in order; a key's rows are one stream, which one task reads."""
-    names = [c.split()[0] for c in out_schema.split(", ")]
-
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        rows = [step(state, f) for f in _frames(pdf, order)]
-        out = pd.DataFrame(rows, columns=names)
-        out.insert(0, key, group[0])
-        return out
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {out_schema}")
+    """step over each key's rows in order. Rows are sorted by key and order in each partition and read a batch at a time,
+    so a task holds one batch and one state, however long a stream is."""
+    schema = StructType([df.schema[key], *StructType.fromDDL(out_schema).fields])
+    arrow = to_arrow_schema(schema)
+    given = [c for c in df.columns if c != key]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now, begun = {}, None, False
+        for batch in batches:
+            keys, out = batch.column(key).to_pylist(), []
+            for k, row in zip(keys, zip(*[batch.column(c).to_pylist() for c in given], strict=True), strict=True):
+                if not begun or k != now:
+                    state, now, begun = {}, k, True
+                out.append(step(state, dict(zip(given, row, strict=True))))
+            cols = [batch.column(key), *[pa.array([r[f.name] for r in out], f.type) for f in list(arrow)[1:]]]
+            yield pa.RecordBatch.from_arrays(cols, arrow.names)
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 class Machine(StatefulProcessor):

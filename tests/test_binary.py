@@ -134,3 +134,36 @@ def test_data_source(spark, tmp_path):
 def test_frame_round_trip(xs):
     rec = [(fid, *x) for fid, x in xs]
     assert binary.read_frame(binary.write_frame(rec)) == values.sort(rec)
+
+
+def test_writer_leaves_only_what_is_committed(tmp_path):
+    """Attempts that are not accepted leave nothing, also when another job has failed."""
+    w = container.RecordsWriter({"path": str(tmp_path)})
+    rows = [{"canonical": f"F1={k}"} for k in range(3)]
+    kept, lost = w.write(iter(rows)), w.write(iter(rows))
+    assert kept.folder != lost.folder
+    assert not list(tmp_path.glob("*.rec"))
+    w.commit([kept, None])
+    assert len(list(tmp_path.rglob("*.rec"))) == 3
+    w.write(iter(rows))
+    w.abort([])
+    assert len(list(tmp_path.rglob("*.rec"))) == 3
+
+
+def test_bytes_that_are_no_text_are_error_rows(spark):
+    bad = bytes([0x11, 0, 2, 0xC3, 0x28])
+    df = spark.createDataFrame([(1, bytearray(bad)), (2, bytearray(binary.write_envelope({"source": "a"})))], "id int, d binary")
+    got = {r.id: (r.envelope, r.error) for r in binary.decode_envelope(df, "d", "id").collect()}
+    assert got[1][0] is None and got[1][1]["class"] == "InvalidUtf8"
+    assert got[2][0].source == "a" and got[2][1] is None
+
+
+def test_values_that_are_gone_past():
+    """A reader of one field ends where a reader of all fields does, for every type."""
+    rec = [(1, "i", -5), (2, "f", 1.5), (3, "b", True), (4, "s", "é"), (5, "sa", ["a", ""]), (6, "ia", [1, 300]), (7, "fa", [0.5]), (8, "ba", [True, False]), (9, "v", b"abc")]
+    data = binary.write_frame(rec)
+    assert len(data) == binary.frame_size(rec)
+    for fid, tag, v in rec:
+        assert binary.read_frame(data, only={fid}) == [(fid, tag, v)]
+    assert binary.read_frame(data, only={99}) == []
+    assert binary.supports_nested([1, 6]) and not binary.supports_nested([1, 5])

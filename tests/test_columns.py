@@ -56,7 +56,7 @@ def test_empty_stats(spark):
 
 
 def test_routing_table(spark):
-    rows = [("Alert", 255, False, 0.1, "SendToLLM"), ("Alert", 200, False, 0.9, "ProcessLocally"), ("Alert", 255, True, 0.9, "Drop"), ("Event", 10, False, 0.7, "SendToLLM"), ("State", 10, False, 0.69, "ProcessLocally"), ("Command", 255, False, 1.0, "ProcessLocally"), ("Query", 255, False, 1.0, "ProcessLocally"), ("Event", 1, None, 0.8, "SendToLLM")]
+    rows = [("Alert", 255, False, 0.1, "SendToLLM"), ("Alert", 200, False, 0.9, "ProcessLocally"), ("Alert", 255, True, 0.9, "Drop"), ("Event", 10, False, 0.7, "SendToLLM"), ("State", 10, False, 0.69, "ProcessLocally"), ("Command", 255, False, 1.0, "ProcessLocally"), ("Query", 255, False, 1.0, "ProcessLocally"), ("Event", 1, None, 0.8, None)]  # the last one has no time: an error, no decision
     df = spark.createDataFrame(rows, "kind string, p int, e boolean, i double, want string")
     got = df.select("want", routing.route(F.col("kind"), F.col("p"), F.col("e"), F.col("i")).alias("got")).collect()
     assert all(r.got == r.want for r in got)
