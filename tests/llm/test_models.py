@@ -287,17 +287,49 @@ def test_media_copies_of_twice_the_size(spark):
     assert wrong <= 1
 
 
-def test_media_keys_meet_at_the_accepted_distance():
-    """A corner shares a key at 24 of 256 differing bits nearly always, at 48 in four of ten cases."""
-    rng = np.random.default_rng(3)
-    words = rng.integers(0, 2**32, (400, 8), dtype=np.uint32)
-    for differ, least in ((24, 0.9), (48, 0.35)):
-        flipped = np.unpackbits(words.astype(">u4").view(np.uint8), axis=1)
-        for row in flipped:
-            row[rng.permutation(256)[:differ]] ^= 1
-        other = np.packbits(flipped, axis=1).view(">u4").astype(np.uint32)
-        share = np.mean([len(np.intersect1d(media._keys(a[None]), media._keys(b[None]))) > 0 for a, b in zip(words, other, strict=True)])
-        assert share >= least
+def test_media_meets():
+    """All images of a rare key meet, those of a common one only their neighbours; batches may end anywhere."""
+    import pyarrow as pa
+
+    rows = [(k, i, (10 + i) << 14) for k, n in ((1, 1), (2, 2), (3, 8), (4, 9), (5, 30), (6, 3)) for i in range(n)] + [(6, 2, 5)]
+    want = sorted([(i, j) for n in (2, 8, 3) for i in range(n) for j in range(i)] + [(i, i - 1) for n in (9, 30) for i in range(1, n)])
+    for size in (1, 2, 5, 7, 8, 9, 10, 23, 100):
+        batches = [pa.RecordBatch.from_pydict({c: [x[k] for x in rows[a : a + size]] for k, c in enumerate(("key", "id", "place"))}) for a in range(0, len(rows), size)]
+        assert sorted((x["a"], x["b"]) for out in media._meet(iter(batches)) for x in out.to_pylist()) == want, size
+
+
+def test_media_votes():
+    """A pair goes on with two different votes of one bin, however its rows are cut into batches."""
+    import pyarrow as pa
+
+    place = lambda x, y, turn=0, scale=0: np.array([(y * 2 << 30) | (x * 2 << 14) | (turn << 5) | scale])
+    same = [int(media._votes(place(40 + d, 30), place(20 + d, 10))[0]) for d in (0, 1, 2)]  # one shift, said by three corners
+    assert len(set(same)) == 1
+    near, far = int(media._votes(place(41, 31), place(20, 10))[0]), int(media._votes(place(140, 130), place(20, 10))[0])
+    turned = int(media._votes(place(40, 30, 90), place(20, 10))[0])
+    rows = sorted([(2, 1, same[0]), (2, 1, near), (3, 1, same[0]), (3, 1, same[1]), (4, 1, same[0]), (4, 1, far), (5, 1, same[0]), (5, 1, turned), (6, 2, far), (6, 2, near), (6, 2, same[0])])
+    for size in (1, 2, 3, 20):
+        batches = [pa.RecordBatch.from_pydict({c: [x[k] for x in rows[a : a + size]] for k, c in enumerate(("a", "b", "vote"))}) for a in range(0, len(rows), size)]
+        assert sorted((x["a"], x["b"]) for out in media._agreed(iter(batches)) for x in out.to_pylist()) == [(2, 1), (6, 2)]
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_media_recall(spark, n):
+    """Links among the pictures of the query against comparing every planted pair and its like in full: 0.9 at least."""
+    sf = {500: "/root/testdata/sf0.01", 2000: "/root/testdata/sf0.1"}[n]
+    table = media.pictures(spark.read.parquet(f"{sf}/embeddings.parquet")).where(f"id < {n}")
+    shown = {r.id: r for r in table.collect()}
+    corners = {}
+    for k, r in shown.items():
+        i, place, turn, words = media.describe(np.frombuffer(r.image, np.uint8).reshape(1, r.height, r.width))
+        corners[k] = np.empty(len(i), media.CORNER)
+        corners[k]["place"], corners[k]["turn"], corners[k]["word"] = place, turn, np.ascontiguousarray(words).view(np.uint64)
+    near = [(k, k - 1) for k in shown if k - 1 in shown]
+    want = {(a, b) for a, b in near if media.linked(corners[a], corners[b])}
+    got = {r.id: r.component_id for r in media.image_copies(table).collect()}
+    assert len(want) >= n // 6
+    assert sum(got[a] == got[b] for a, b in want) >= 0.9 * len(want)
+    assert sum(got[k] != k for k in got) <= len(want) + n // 200
 
 
 def test_media_cases(spark):
