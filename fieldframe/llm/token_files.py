@@ -123,21 +123,39 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.memo = Memo(MEMO)
+        vocabulary = self.library.get_vocab()
+        #: Which ids end a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.stop = {c: np.array(self.library.encode(chr(c), add_special_tokens=False).ids, np.int32) for c in b",."}
 
     def _ask(self, words: list[bytes], plain: np.ndarray) -> list[np.ndarray]:
-        """Plain words are one pre-token each, so many of them are one text for the library."""
+        """Words of letters are one pre-token each and have one token with a word's end each, so many of them are one text
+        for the library, cut at those tokens. Of other ASCII words many are one text too, cut by the tokens' places."""
         out: list = [None] * len(words)
-        at = np.flatnonzero(plain).tolist()
+        ascii_ = np.array([w.isascii() for w in words], bool)
+        at = np.flatnonzero(plain)
+        chunks = [at[k : k + 500].tolist() for k in range(0, len(at), 500)]
+        texts = [b" ".join([words[i] for i in some]).decode() for some in chunks]
+        left = np.flatnonzero(~plain & ~ascii_).tolist()
+        for some, e in zip(chunks, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                left += some
+                continue
+            for i, a, b in zip(some, [0, *ends.tolist()], ends.tolist(), strict=False):
+                out[i] = ids[a:b]
+        at = np.flatnonzero(~plain & ascii_).tolist()
         for k in range(0, len(at), 500):
             some = at[k : k + 500]
             e = self.library.encode(b" ".join([words[i] for i in some]).decode(), add_special_tokens=False)
             ids = np.array(e.ids, np.int32)
-            cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)).tolist()
+            begins = np.cumsum([0, *(len(words[i]) + 1 for i in some)])
+            cuts = np.searchsorted(np.array([a for a, _ in e.offsets]), begins).tolist()
             for i, a, b in zip(some, cuts, cuts[1:], strict=False):
                 out[i] = ids[a:b]
-        rest = np.flatnonzero(~plain).tolist()
-        for i, e in zip(rest, self.library.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False), strict=True):
+        for i, e in zip(left, self.library.encode_batch_fast([words[i].decode() for i in left], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.int32)
         return out
 
