@@ -5,9 +5,10 @@ mean repetition rate w * T / s. Each document's count is that Poisson distributi
 from an MD5 of seed and doc_id, so it depends on nothing but them; the document is exploded by its count, and a second
 MD5 deals all copies to random partitions and orders each one: a global shuffle without a sampling pass.
 
-The table of sources is grouped first (partial sums, so a hot source is no hot task), counted, and joined back: up to
-`MOST_BROADCAST` sources it is broadcast, so documents are moved once, by the shuffle; beyond that both sides are merged
-by source, and adaptive execution splits hot ones. Everything is DataFrame code; the text rides along untouched.
+A source's distribution is an array over 12 standard deviations and 30 on both sides of its mean, so it grows with the
+root of the rate. The table of sources is grouped first (partial sums, so a hot source is no hot task), measured, and
+joined back: up to `MOST_BROADCAST` bytes it is broadcast, so documents are moved once, by the shuffle; beyond that both
+sides are merged by source, and adaptive execution splits hot ones. Everything is DataFrame code; the text rides along untouched.
 
 Cases: a null source is a source of its own; null and empty texts have size 1; rows that repeat a doc_id get the same
 count; sources that `targets` doesn't name get weight 0 and go; an empty table gives no rows; further columns stay.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, pick
 
-#: Sources whose distributions may be broadcast: about a KB each.
-MOST_BROADCAST = 20_000
+#: Bytes of the sources' distributions that may be broadcast: 8 for each number, 100 for each source.
+MOST_BROADCAST = 32 << 20
 
 #: 16^13: 13 hexadecimal digits are exact in a double.
 SPAN = float(16**13)
@@ -33,18 +34,26 @@ def unit(seed: str, *cols: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / SPAN
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... as an array that runs 12 standard deviations and 30 beyond the mean. In logarithms,
-    so that a rate of thousands does not underflow."""
+def poisson_least(rate: Column) -> Column:
+    """The first count of poisson_cdf: 12 standard deviations and 30 below the mean, 0 at least. What lies below has a
+    probability under 1e-30."""
+    return F.greatest(F.lit(0), F.floor(rate - 12 * F.sqrt(rate) - 30)).cast("int")
+
+
+def poisson_cdf(rate: Column, least: Column) -> Column:
+    """P(least <= X <= least), P(least <= X <= least + 1), ... up to 12 standard deviations and 30 beyond the mean. In
+    logarithms, so that a rate of thousands does not underflow."""
     most = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    factorial = F.aggregate(F.when(least > 0, F.sequence(F.lit(1), least)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, k: s + F.ln(k.cast("double")))
     start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
 
     def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.when(k == 0, -rate).otherwise(F.ln(rate) - F.ln(k.cast("double")))
+        first = F.when(least > 0, -rate + least * F.ln(rate) - factorial).otherwise(-rate)
+        log = F.when(k == least, first).otherwise(acc["log"] + F.ln(rate) - F.ln(k.cast("double")))
         total = acc["sum"] + F.exp(log)
         return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["all"], F.array(total)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(0), most), start, step, lambda acc: acc["all"])
+    return F.aggregate(F.sequence(least, most), start, step, lambda acc: acc["all"])
 
 
 def source_rates(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, budget: float = 1.0) -> DataFrame:
@@ -64,12 +73,14 @@ def source_rates(docs: DataFrame, targets: dict[str, float] | None = None, alpha
 def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, budget: float = 1.0, seed: str = "mix") -> DataFrame:
     """Rows of docs, each as often as its Poisson count says, shuffled, with rate, copy (from 0) and shuffle_key."""
     rates = source_rates(pick(docs, "source", "text"), targets, alpha, budget).where("rate > 0")
-    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), poisson_least(F.col("rate")).alias("_least"))
+    rates = rates.withColumn("_cdf", poisson_cdf(F.col("_rate"), F.col("_least")))
     rates = Scratch(docs.sparkSession, "mixing").table(rates, "rates")
-    rates = F.broadcast(rates) if rates.count() <= MOST_BROADCAST else rates.hint("merge")
+    size = rates.agg(F.coalesce(F.sum(F.size("_cdf") * 8 + F.coalesce(F.octet_length("_source"), F.lit(0)) + 100), F.lit(0))).first()[0]
+    rates = F.broadcast(rates) if size <= MOST_BROADCAST else rates.hint("merge")
     joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
     u = unit(seed, docs["doc_id"])
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+    count = F.col("_least") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     held = joined.withColumn("_u", u).withColumn("_count", count).where("_count > 0")
     copies = held.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(seed + "/shuffle"), docs["doc_id"].cast("string"), F.col("_copy").cast("string")))

@@ -20,7 +20,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", F.col("_mix_copy").alias("copy"), F.round("_mix_rate", 9).alias("rate"), F.col("_mix_key").alias("shuffle_key"))
+    return out.select("doc_id", "source", F.col("_mix_copy").alias("copy"), F.round("_mix_rate", 9).alias("rate"), F.col("_mix_key").alias("shuffle_key"), F.md5("text").alias("text_md5"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +76,11 @@ WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS size
 rates AS (SELECT source, (size ** 0.5e0) / (SELECT sum(size ** 0.5e0) FROM sizes) * (SELECT sum(size) FROM sizes) / size AS rate FROM sizes),
 steps AS (SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1.0e0) END)) OVER (PARTITION BY source ORDER BY k) AS cdf
   FROM (SELECT source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT)) AS k FROM rates)),
-drawn AS (SELECT doc_id, source, (('0x' || left(md5('mix:' || doc_id), 13))::BIGINT + 0.5e0) / 4503599627370496e0 AS u FROM documents),
-counted AS (SELECT d.doc_id, d.source, any_value(s.rate) AS rate, count(*) AS n
+drawn AS (SELECT doc_id, source, md5(text) AS text_md5, (('0x' || left(md5('mix:' || doc_id), 13))::BIGINT + 0.5e0) / 4503599627370496e0 AS u FROM documents),
+counted AS (SELECT d.doc_id, d.source, any_value(d.text_md5) AS text_md5, any_value(s.rate) AS rate, count(*) AS n
   FROM (SELECT row_number() OVER () AS r, * FROM drawn) d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.cdf <= d.u GROUP BY d.r, d.doc_id, d.source),
-copies AS (SELECT doc_id, source, rate, unnest(generate_series(0, n - 1))::INTEGER AS copy FROM counted)
-SELECT doc_id, source, copy, round(rate, 9) AS rate, md5('mix/shuffle:' || doc_id || ':' || copy) AS shuffle_key FROM copies
+copies AS (SELECT doc_id, source, rate, text_md5, unnest(generate_series(0, n - 1))::INTEGER AS copy FROM counted)
+SELECT doc_id, source, copy, round(rate, 9) AS rate, md5('mix/shuffle:' || doc_id || ':' || copy) AS shuffle_key, text_md5 FROM copies
 """
 
 OP8 = r"""

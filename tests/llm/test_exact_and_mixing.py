@@ -76,3 +76,19 @@ def test_poisson_is_poisson(spark):
     mean, var = counts.selectExpr("avg(count)", "variance(count)").first()
     assert mean == pytest.approx(60, rel=0.03)
     assert var == pytest.approx(60, rel=0.15)
+
+
+def test_distributions_of_large_rates(spark):
+    """Arrays grow with the root of the rate; what they leave out has no weight."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rates = [0.3, 5.0, 180.0, 260.0, 20000.0, 1e6]
+    df = spark.createDataFrame([(r,) for r in rates], "rate double").withColumn("least", mixing.poisson_least(F.col("rate")))
+    for r in df.withColumn("cdf", mixing.poisson_cdf(F.col("rate"), F.col("least"))).collect():
+        assert len(r.cdf) <= 24 * math.sqrt(r.rate) + 62
+        assert r.cdf[-1] == pytest.approx(1, abs=1e-6)
+        assert (r.least == 0) == (r.rate <= 12 * math.sqrt(r.rate) + 30)
+        median = r.least + sum(c < 0.5 for c in r.cdf)
+        assert abs(median - r.rate) < 1
