@@ -257,12 +257,12 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
     """Connected components of edges (a long, b long): one row (id, component) for each vertex of an edge, component
     being the smallest id reachable. Alternates large-star and small-star steps, each a grouped minimum joined back, so
     that no vertex's neighbours meet in one task; every round is a table in the shared folder. No edges: no rows."""
-    spark = scratch.spark
     links = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    state = _print(links)
-    if state[0] == 0:
-        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    for turn in range(1, 100):
+    turn = 0
+    while not _settled(links):
+        turn += 1
+        if turn == 100:
+            raise RuntimeError(f"{name}: components have not settled after {turn - 1} rounds")
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -272,13 +272,8 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
         small = large.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         small = small.where("a <> b").distinct()
         links = scratch.table(small, f"{name}-{turn}")
-        before, state = state, _print(links)
         if turn > 1:
             scratch.drop(f"{name}-{turn - 1}")
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"{name}: components have not settled after {turn} rounds")
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
@@ -292,9 +287,9 @@ def joined_components(scratch: Scratch, labels: DataFrame, more: DataFrame, name
     return moved.unionAll(joined.join(labels.select("id").hint("merge"), "id", "left_anti").select("id", "component"))
 
 
-def _print(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def _settled(links: DataFrame) -> bool:
+    """Whether links (a > b) are stars: every vertex points at one smaller one at most, and none of those points on. As
+    rounds keep what hangs together, each star then is a component."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("out")), F.struct(F.col("b").alias("v"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    seen = ends.groupBy("v").agg(F.sum("out").alias("n"), F.min("out").alias("least"))
+    return seen.where("n > 1 or (n = 1 and least = 0)").isEmpty()

@@ -361,7 +361,7 @@ def line_classes(scratch: Scratch, docs: DataFrame, min_chars: int = MIN_CHARS,
     open_ = known.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("band", F.col("least").alias("head"))
     open_ = scratch.table(known.join(open_.hint("merge"), "band"), "open")
     if not open_.isEmpty():
-        bands = some.groupBy("id").agg(F.sort_array(F.collect_list("band")).alias("bands"))  # BANDS at most
+        bands = open_.groupBy("id").agg(F.sort_array(F.collect_list("band")).alias("bands"))  # BANDS at most
         placed = open_.join(sketch.hint("merge"), "id").join(bands.hint("merge"), "id")
         strays, rest = placed.where("part <> head").alias("x"), placed.alias("y")
         meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (_agree("x.", "y.") >= AGREE)
