@@ -239,10 +239,11 @@ def minima(values: np.ndarray, offs: np.ndarray, seeds: np.ndarray, block: int =
         a = offs[rows[0]]
         b = offs[rows[-1] + 1]
         x, cuts = low[a:b], offs[rows] - a
-        y = np.empty_like(x)
+        y, least = np.empty_like(x), np.empty((k, len(rows)), np.uint32)
         for s in range(k):
             np.multiply(x, seeds[s], out=y)
-            out[rows, s] = np.minimum.reduceat(y, cuts)
+            np.minimum.reduceat(y, cuts, out=least[s])
+        out[rows] = least.T
     return out
 
 

@@ -7,7 +7,7 @@ connected component the first line by (doc_id, line number) stays, all others go
 1. One pass gives each line its identity, a 128-bit cryptographic digest (BLAKE2), and each distinct line of a few MB of
    text its MinHash minima; lines that a task has had lately are left out. Copies of a line fall together by identity
    and never meet in pairs.
-2. `BANDS` keys of `ROWS` minima each make buckets. A running window pairs each bucket member with the bucket's first
+2. `BANDS` keys of `ROWS` minima each make buckets. A walk over rows sorted by band pairs each member with the first
    line and with the one before it; no bucket is held in memory or expanded into all its pairs.
 3. Of lines that agree with another one of a bucket in enough packed low bits of their minima, the texts are fetched
    once, with a finer sketch: the parities of how many of the line's shingles fall to each of 2048 bits. The number of
@@ -55,6 +55,8 @@ BITS, KEPT, AGREE = 2, 32, 20
 #: The finer sketch: bits of a line's parities, the shingles from which only every second, fourth ... is taken, and how
 #: many standard errors a pair's differing bits may be above what is expected at the threshold.
 PARITIES, LEVEL, ERRORS = 2048, 8192, 4.5
+#: Shingles that are hashed at a time, so that they stay in the processor's cache.
+BLOCK = 1 << 14
 
 
 class Lines:
@@ -63,7 +65,7 @@ class Lines:
 
     def __init__(self, texts: pa.Array, min_chars: int):
         self.raw, offs = utf8(texts)
-        self.data = data = FOLD[self.raw]
+        self.data = data = np.frombuffer(self.raw.tobytes().lower(), np.uint8)  # of bytes, only A-Z have small ones
         n = len(offs) - 1
         newline = np.flatnonzero(data == 10)
         row_b = np.searchsorted(offs, newline, "right") - 1
@@ -75,10 +77,11 @@ class Lines:
         ends = np.concatenate([newline, offs[1:]])[np.argsort(np.concatenate([row_b, np.arange(n)]), kind="stable")]
         first = np.searchsorted(rows, np.arange(n))
         number = np.arange(len(rows)) - first[rows]
-        #: Number of characters before each byte.
-        self.chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        use = self.chars[ends] - self.chars[begins] >= max(min_chars, SHINGLE)
-        self.row, self.number, self.begin, self.end = rows[use], number[use], begins[use], ends[use]
+        # characters are bytes but for those that continue one
+        more = np.flatnonzero(data.view(np.int8) < -64)
+        size = ends - begins - (np.searchsorted(more, ends) - np.searchsorted(more, begins))
+        use = size >= max(min_chars, SHINGLE)
+        self.row, self.number, self.begin, self.end, self.size = rows[use], number[use], begins[use], ends[use], size[use]
         view = memoryview(data)
         digests = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)])
         both = np.frombuffer(digests, "<u8").reshape(-1, 2)
@@ -90,29 +93,29 @@ class Lines:
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of the given lines, one or more in the text's order, and their offsets."""
-        begin, end = self.begin[which], self.end[which]
-        # only these lines' characters, side by side
-        edge = np.zeros(len(self.data) + 1, np.int8)
-        edge[begin] += 1
-        edge[end] -= 1
-        data = self.data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
-        cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        size = self.chars[end] - self.chars[begin]
+        view = memoryview(self.data)
+        data = b"".join([view[a:b] for a, b in zip(self.begin[which].tolist(), self.end[which].tolist(), strict=True)])
+        cp = np.frombuffer(data, np.uint8) if data.isascii() else np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        size = self.size[which]
         stop = np.cumsum(size)
         offs = np.concatenate([[0], np.cumsum(size - SHINGLE + 1)])
-        low = (cp.astype(np.uint64) + U64(0x9E37)) * U64(0xD6E8FEB86659FD93)
-        low ^= low >> U64(32)
-        n = len(low) - SHINGLE + 1
-        x = low[SHINGLE - 1 :].copy()
-        for k in range(SHINGLE - 1):
-            x += low[k : k + n] * U64(pow(0x9E3779B97F4A7C15, SHINGLE - 1 - k, 2**64))
-        inside = np.ones(n, bool)
+        x = np.empty(len(cp) - SHINGLE + 1, np.uint64)
+        for a in range(0, len(x), BLOCK):
+            part = x[a : a + BLOCK]
+            low = cp[a : a + len(part) + SHINGLE - 1].astype(np.uint64)
+            low += U64(0x9E37)
+            low *= U64(0xD6E8FEB86659FD93)
+            low ^= low >> U64(32)
+            part[:] = low[: len(part)]
+            for k in range(1, SHINGLE):
+                part *= U64(0x9E3779B97F4A7C15)
+                part += low[k : k + len(part)]
+            part ^= part >> U64(32)
+            part *= U64(0xC4CEB9FE1A85EC53)
+        inside = np.ones(len(x), bool)
         for k in range(1, SHINGLE):
             inside[stop[:-1] - k] = False  # these would reach into the next line
-        x = x[inside]
-        x ^= x >> U64(32)
-        x *= U64(0xC4CEB9FE1A85EC53)
-        return x, offs
+        return x[inside], offs
 
     def text(self, i: int) -> str:
         return self.raw[self.begin[i] : self.end[i]].tobytes().decode()
@@ -307,19 +310,24 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 
 def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (band, id, s0) sorted by band and id: each bucket's lines, once each, with the bucket's first line and the
-    one before. Buckets of one line fall away. Between batches only a bucket's last line, first line and whether it has
-    been given out are kept."""
+    """Of rows (band, id, s0) sorted by band: the lines of each bucket of several, with the bucket's first line here and the
+    one before by id. A batch gives a line of a bucket once; a bucket that spans batches may give it again. Between
+    batches only one line of the last bucket, its first line and whether it has been given out are kept."""
     last = None  # band, id, s0, first, whether it still waits for a second line of its bucket
     schema = ["band", "id", "s0", "first", "prev"]
-
-    def rows(band: np.ndarray, id_: np.ndarray, s0: np.ndarray, first: np.ndarray, prev: np.ndarray, has_prev: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(band), pa.array(id_), pa.array(s0), pa.array(first), pa.array(prev, mask=~has_prev)], schema)
-
     for batch in batches:
         band, id_, s0 = (batch.column(c).to_numpy() for c in ("band", "id", "s0"))
         if last:
             band, id_, s0 = (np.concatenate([[x], y]) for x, y in zip(last[:3], (band, id_, s0), strict=True))
+        if not len(band):
+            continue
+        edge = np.concatenate([[True], band[1:] != band[:-1], [True]])
+        # most buckets are one row; of these only the batch's first and last can go on
+        use = ~(edge[1:] & edge[:-1])
+        use[0] = use[-1] = True
+        band, id_, s0 = band[use], id_[use], s0[use]
+        order = np.lexsort((id_, np.cumsum(np.concatenate([[True], band[1:] != band[:-1]]))))
+        band, id_, s0 = band[order], id_[order], s0[order]
         new = np.concatenate([[True], (band[1:] != band[:-1]) | (id_[1:] != id_[:-1])])
         band, id_, s0 = band[new], id_[new], s0[new]
         start = np.concatenate([[True], band[1:] != band[:-1]])
@@ -330,11 +338,12 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = (size > 1)[bucket]
         if last:
             first[bucket == 0] = last[3]
-            # the first row was in the batch before: it is given out now if it has waited and a second one has come
-            several[0] &= last[4]
+            if not last[4]:  # given out before
+                several &= (bucket != 0) | (id_ != last[1])
         waits = bool(size[-1] == 1 and (len(size) > 1 or not last or last[4]))
         if several.any():
-            yield rows(*(x[several] for x in (band, id_, s0, first, prev, ~start)))
+            some = [pa.array(x[several]) for x in (band, id_, s0, first)]
+            yield pa.RecordBatch.from_arrays([*some, pa.array(prev[several], mask=start[several])], schema)
         last = (band[-1], id_[-1], s0[-1], first[-1], waits)
 
 
@@ -343,7 +352,8 @@ def line_classes(scratch: Scratch, docs: DataFrame, min_chars: int = MIN_CHARS,
     component is the smallest id."""
     texts = pick(docs, "doc_id", "text")
     keys = texts.select("text").mapInArrow(_bands(min_chars), "id long, band long, s0 long")
-    sorted_keys = keys.repartition("band").sortWithinPartitions("band", "id").select("band", "id", "s0")
+    # one long to sort by, so that Spark sorts by its digits
+    sorted_keys = keys.repartition("band").sortWithinPartitions("band").select("band", "id", "s0")
     members = scratch.table(sorted_keys.mapInArrow(_walk, "band long, id long, s0 long, first long, prev long"), "members")
     # lines that agree enough with another one of a bucket
     x, y = members.alias("x"), members.select("band", "id", "s0").alias("y")
@@ -359,7 +369,7 @@ def line_classes(scratch: Scratch, docs: DataFrame, min_chars: int = MIN_CHARS,
 
     known = some.join(labels.hint("merge"), "id", "left").select("band", "id", "s0", "first", F.coalesce("component", "id").alias("part"))
     open_ = known.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("band", F.col("least").alias("head"))
-    open_ = scratch.table(known.join(open_.hint("merge"), "band"), "open")
+    open_ = scratch.table(known.join(open_.hint("merge"), "band").select("band", "id", "s0", "part", "head").distinct(), "open")
     if not open_.isEmpty():
         bands = open_.groupBy("id").agg(F.sort_array(F.collect_list("band")).alias("bands"))  # BANDS at most
         placed = open_.join(sketch.hint("merge"), "id").join(bands.hint("merge"), "id")
@@ -422,5 +432,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, percent: int = PERC
     gone = scratch.table(gone.groupBy(F.col("doc_id").alias("_doc_id"), F.col("own").alias("_own")).agg(F.collect_set("line").alias("_gone")), "gone")
     joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_own")), "left")
     left = F.coalesce(_without(F.when(F.col("_gone").isNotNull(), docs["text"]), "_gone"), docs["text"])
-    n_lines = F.size(F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1))
+    text = F.coalesce(docs["text"], F.lit(""))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return joined.select(*[left.alias(c) if c == "text" else docs[c] for c in docs.columns], n_lines.alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("_n_dropped"))

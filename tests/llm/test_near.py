@@ -141,6 +141,23 @@ def test_walk():
         assert got == want, size
 
 
+def test_walk_of_any_order():
+    """Rows sorted by band alone: each line of a bucket of several comes out, all with one first line, whatever the order of
+    the lines and the ends of the batches; lines of single buckets never do."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = [(band, rng.randrange(6)) for band in range(12) for _ in range(rng.randrange(8))]
+        size = rng.randrange(1, 12)
+        batches = [pa.RecordBatch.from_pydict({"band": [r[0] for r in rows[a : a + size]], "id": [r[1] for r in rows[a : a + size]], "s0": [r[1] * 10 for r in rows[a : a + size]]}) for a in range(0, len(rows), size)]
+        got = [r for b in line_dedup._walk(iter(batches)) for r in b.to_pylist()]
+        ids = {band: {i for b, i in rows if b == band} for band, _ in rows}
+        assert {(r["band"], r["id"]) for r in got} == {(band, i) for band, some in ids.items() if len(some) > 1 for i in some}
+        assert all(r["s0"] == r["id"] * 10 and r["first"] in ids[r["band"]] and (r["prev"] is None or r["prev"] in ids[r["band"]]) for r in got)
+        assert len({(r["band"], r["first"]) for r in got}) == len({r["band"] for r in got})
+
+
 def test_parity_sketch(spark):
     """Pairs over the threshold stay, others go, for lines short and long (of which a sample is taken)."""
     rng = np.random.default_rng(5)
