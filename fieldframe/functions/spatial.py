@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -40,6 +40,31 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return out
 
 
+def _cell(v: Column, n: str, sizes: tuple[float, float, float]) -> Column:
+    return F.floor(v[n] / sizes[AXES.index(n)])
+
+
+def in_cells(df: DataFrame, box: str, sizes: tuple[float, float, float]) -> DataFrame:
+    """A row for each cell that the box touches, cells being of these sizes along the three axes: _x, _y, _z and a hash
+    of them, _cell."""
+    for n in AXES:
+        df = df.withColumn(f"_{n}", F.explode(F.sequence(_cell(F.col(f"{box}.min"), n, sizes), _cell(F.col(f"{box}.max"), n, sizes))))
+    return df.withColumn("_cell", F.xxhash64(*[f"_{n}" for n in AXES]))
+
+
+def boxes_joined(df: DataFrame, box: str, sizes: tuple[float, float, float], where: Column) -> DataFrame:
+    """Pairs of rows, aliases a and b, whose boxes meet and for which `where` holds. An equi-join finds those that share
+    a cell, and a pair counts in its first shared cell only; the theta condition is checked on that. Cells a few times a
+    box's size keep both copies and strangers few. The key is the cell's hash; cells themselves are compared after it, so
+    equal hashes of two cells do no harm."""
+    cells = in_cells(df, box, sizes)
+    on = (F.col("a._cell") == F.col("b._cell")) & where
+    for n in AXES:
+        first = F.greatest(_cell(F.col(f"a.{box}.min"), n, sizes), _cell(F.col(f"b.{box}.min"), n, sizes))
+        on = on & (F.col(f"a._{n}") == first) & (F.col(f"b._{n}") == first)
+    return cells.alias("a").join(cells.alias("b"), on & boxes_meet(F.col(f"a.{box}"), F.col(f"b.{box}")))
+
+
 def transform(p: Column, rotation: Column, translation: Column, scale: Column) -> Column:
     """Scale, turn about z by roll, about y by yaw, about x by pitch, then move."""
     x, y, z = (p[n] * scale[n] for n in AXES)

@@ -599,18 +599,12 @@ def spa_transform(spark, sf_dir):
   n AS (SELECT b.*, c + d AS near FROM b, (VALUES (-1), (0), (1)) v(d))
   SELECT a.l_orderkey AS a, n.l_orderkey AS b, count(*) AS n FROM b a JOIN n ON a.c = n.near AND a.l_orderkey < n.l_orderkey AND a.x0 <= n.x1 AND a.x1 >= n.x0 AND a.y0 <= n.y1 AND a.y1 >= n.y0 AND a.z0 <= n.z1 AND a.z1 >= n.z0 GROUP BY 1, 2""")
 def spa_bbox_join(spark, sf_dir):
-    """Orders that have lines whose boxes meet, over all lines. Boxes are cut into cells along x, an equi-join finds those
-    that share a cell, and a pair counts in its first shared cell only; the theta condition is checked on that."""
+    """Orders that have lines whose boxes meet, over all lines."""
     li = t.spread(t.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", "l_suppkey"))
     at = {"x": (F.col("l_extendedprice"), 2), "y": (F.col("l_quantity"), 1), "z": (F.col("l_suppkey"), 20)}
     corner = lambda sign: F.struct(*[(v + sign * w).alias(n) for n, (v, w) in at.items()])
     boxes = li.select("l_orderkey", F.struct(corner(-1).alias("min"), corner(1).alias("max")).alias("box"))
-    cell = lambda v: F.floor(v / 8.0)
-    cells = boxes.withColumn("cell", F.explode(F.sequence(cell(F.col("box.min.x")), cell(F.col("box.max.x")))))
-    a, b = cells.alias("a"), cells.alias("b")
-    first = F.greatest(cell(F.col("a.box.min.x")), cell(F.col("b.box.min.x")))
-    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey")) & (F.col("a.cell") == first)
-    met = a.join(b, on & spatial.boxes_meet(F.col("a.box"), F.col("b.box")))
+    met = spatial.boxes_joined(boxes, "box", (16.0, 8.0, 160.0), F.col("a.l_orderkey") < F.col("b.l_orderkey"))
     return met.groupBy(F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b")).agg(F.count("*").alias("n"))
 
 
