@@ -78,17 +78,15 @@ class Memo:
         place[rows[:, 2] == 0] = -1
         return place, n
 
-    def add(self, h1: np.ndarray, h2: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Words that are not there, each once."""
-        n = np.array([len(x) for x in ids], np.uint64)
-        flat = np.concatenate([np.empty(0, np.int32), *ids])
-        if self.filled + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty(self.filled + len(flat), np.int32)])
-        self.pool[self.filled : self.filled + len(flat)] = flat
-        first = U64(self.filled) + np.cumsum(n) - n
-        self.count, self.filled = self.count + len(h1), self.filled + len(flat)
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray) -> None:
+        """Words that are not there, each once: n of the ids, from that place, are a word's."""
+        if self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(self.filled + len(ids), np.int32)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        first = (self.filled + place).astype(np.uint64)
+        self.count, self.filled = self.count + len(h1), self.filled + len(ids)
         # bit 24 tells a row with no ids from none
-        self._place(np.stack([h1, h2, (first << U64(25)) | U64(1 << 24) | n, np.full(len(h1), self.age, np.uint64)], 1))
+        self._place(np.stack([h1, h2, (first << U64(25)) | U64(1 << 24) | n.astype(np.uint64), np.full(len(h1), self.age, np.uint64)], 1))
 
     def _place(self, rows: np.ndarray) -> None:
         slot = (rows[:, 0] & U64(self.size - 1)).astype(np.int64)
@@ -105,10 +103,11 @@ class Memo:
         if len(keep) > self.most // 2:
             keep = keep[:0]
         n, first = (keep[:, 2] & U64((1 << 24) - 1)).astype(np.int64), (keep[:, 2] >> U64(25)).astype(np.int64)
-        ids = [self.pool[a : a + k] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+        at = np.cumsum(n) - n
+        ids = self.pool[np.arange(n.sum()) + np.repeat(first - at, n)]
         self.clear()
         if len(keep):
-            self.add(keep[:, 0], keep[:, 1], ids)
+            self.add(keep[:, 0], keep[:, 1], ids, at, n)
             self.rows[:, 3] = 0
 
 
@@ -129,35 +128,40 @@ class WordEncoder:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.stop = {c: np.array(self.library.encode(chr(c), add_special_tokens=False).ids, np.int32) for c in b",."}
 
-    def _ask(self, words: list[bytes], plain: np.ndarray) -> list[np.ndarray]:
-        """Words of letters are one pre-token each and have one token with a word's end each, so many of them are one text
-        for the library, cut at those tokens. Of other ASCII words many are one text too, cut by the tokens' places."""
-        out: list = [None] * len(words)
+    def _ask(self, words: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in a row, and for each word the place of its ids there and their number. Words of letters are one pre-token
+        each and have one token with a word's end each, so many of them are one text for the library, cut at those tokens.
+        Of other ASCII words many are one text too, cut by the tokens' places."""
+        place, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, filled = [np.empty(0, np.int32)], 0
+
+        def held(some: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> int:
+            place[some], n[some] = filled + cuts[:-1], np.diff(cuts)
+            parts.append(ids)
+            return filled + len(ids)
+
         ascii_ = np.array([w.isascii() for w in words], bool)
         at = np.flatnonzero(plain)
-        chunks = [at[k : k + 500].tolist() for k in range(0, len(at), 500)]
-        texts = [b" ".join([words[i] for i in some]).decode() for some in chunks]
+        chunks = [at[k : k + 500] for k in range(0, len(at), 500)]
+        texts = [b" ".join([words[i] for i in some.tolist()]).decode() for some in chunks]
         left = np.flatnonzero(~plain & ~ascii_).tolist()
         for some, e in zip(chunks, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
-                left += some
+                left += some.tolist()
                 continue
-            for i, a, b in zip(some, [0, *ends.tolist()], ends.tolist(), strict=False):
-                out[i] = ids[a:b]
-        at = np.flatnonzero(~plain & ascii_).tolist()
+            filled = held(some, ids, np.concatenate([[0], ends]))
+        at = np.flatnonzero(~plain & ascii_)
         for k in range(0, len(at), 500):
             some = at[k : k + 500]
-            e = self.library.encode(b" ".join([words[i] for i in some]).decode(), add_special_tokens=False)
-            ids = np.array(e.ids, np.int32)
-            begins = np.cumsum([0, *(len(words[i]) + 1 for i in some)])
-            cuts = np.searchsorted(np.array([a for a, _ in e.offsets]), begins).tolist()
-            for i, a, b in zip(some, cuts, cuts[1:], strict=False):
-                out[i] = ids[a:b]
-        for i, e in zip(left, self.library.encode_batch_fast([words[i].decode() for i in left], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.int32)
-        return out
+            e = self.library.encode(b" ".join([words[i] for i in some.tolist()]).decode(), add_special_tokens=False)
+            begins = np.cumsum([0, *(len(words[i]) + 1 for i in some.tolist())])
+            filled = held(some, np.array(e.ids, np.int32), np.searchsorted(np.array([a for a, _ in e.offsets]), begins))
+        if left:
+            alone = [e.ids for e in self.library.encode_batch_fast([words[i].decode() for i in left], add_special_tokens=False)]
+            held(np.array(left), np.array([x for ids in alone for x in ids], np.int32), np.cumsum([0, *map(len, alone)]))
+        return np.concatenate(parts), place, n
 
     @staticmethod
     def _plain(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,23 +194,26 @@ class WordEncoder:
         if len(new):
             some, which = np.unique(h1[new], return_index=True)
             rep = new[which]
-            words = [(low if p else data)[a:b].tobytes() for a, b, p in zip(starts[rep].tolist(), ends[rep].tolist(), plain[rep].tolist(), strict=True)]
-            self.memo.add(some, h2[rep], self._ask(words, plain[rep]))
+            texts = data.tobytes(), low.tobytes()
+            words = [texts[p][a:b] for a, b, p in zip(starts[rep].tolist(), ends[rep].tolist(), plain[rep].tolist(), strict=True)]
+            self.memo.add(some, h2[rep], *self._ask(words, plain[rep]))
             at[new], n[new] = self.memo.find(h1[new], h2[new])
         pool = self.memo.pool
         odd = np.flatnonzero(at < 0)  # words whose first hash another has
         if len(odd):
-            asked = self._ask([(low if plain[i] else data)[starts[i] : ends[i]].tobytes() for i in odd], plain[odd])
-            n[odd] = [len(x) for x in asked]
-            at[odd] = self.memo.filled + np.cumsum(n[odd]) - n[odd]
-            pool = np.concatenate([pool[: self.memo.filled], *asked])
+            asked, place, n[odd] = self._ask([(low if plain[i] else data)[starts[i] : ends[i]].tobytes() for i in odd], plain[odd])
+            at[odd] = self.memo.filled + place
+            pool = np.concatenate([pool[: self.memo.filled], asked])
         more = np.zeros(len(n), np.int64)
         for c, ids in self.stop.items():
             more[stop == c] = len(ids)
         offset = np.concatenate([[0], np.cumsum(n + more)])
         out = np.empty(offset[-1], np.int32)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(offset[:-1], n) + within] = pool[np.repeat(at, n) + within]
+        before = np.cumsum(n) - n
+        every = np.arange(n.sum())
+        found = pool[every + np.repeat(at - before, n)]
+        every += np.repeat(offset[:-1] - before, n)
+        out[every] = found
         for c, ids in self.stop.items():
             ends_at = offset[1:][stop == c]
             for k, x in enumerate(ids):
