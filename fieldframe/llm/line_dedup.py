@@ -31,7 +31,7 @@ equality only.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -142,6 +142,60 @@ def _band_keys(lines: Lines, which: np.ndarray, seeds: np.ndarray) -> tuple[np.n
 SEEN = 1 << 20
 
 
+#: A band row as it is moved: many of one part of the keys are one binary value.
+BAND = np.dtype([("band", "<i8"), ("id", "<i8"), ("s0", "<i8")])
+#: Band rows that a task gathers before it deals them out: 12 MB. Parts of the keys for each shuffle partition.
+GATHERED, PARTS = 1 << 19, 4
+
+
+def _dealt(parts: int, rows: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The band rows of `rows` dealt by key to parts, as rows (part, packed)."""
+
+    def deal(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cols = {n: np.concatenate([b.column(n).to_numpy() for b in some]) for n in BAND.names}
+        part = (mix(cols["band"].view(np.uint64)) % U64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        packed = np.empty(len(part), BAND)
+        for n, c in cols.items():
+            packed[n] = c[order]
+        found, at = np.unique(part[order], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array([x.tobytes() for x in np.split(packed, at[1:])], pa.binary())], ["part", "packed"])
+
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in rows(batches):
+            held.append(b)
+            n += len(b)
+            if n >= GATHERED:
+                yield deal(held)
+                held, n = [], 0
+        if held:
+            yield deal(held)
+
+    return dealt
+
+
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (part, packed) sorted by part: the band rows, sorted by band within each part. A part is held in memory,
+    so there have to be as many parts as the input asks for."""
+
+    def opened(some: list[bytes]) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(some), BAND)
+        order = np.argsort(rows["band"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[n])[order]) for n in BAND.names], list(BAND.names))
+
+    last, held = None, []
+    for batch in batches:
+        for part, packed in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            if held and part != last:
+                yield opened(held)
+                held = []
+            last = part
+            held.append(packed)
+    if held:
+        yield opened(held)
+
+
 def _bands(min_chars: int):
     seeds = hash_seeds(HASHES, 3)
     shifts = (np.arange(KEPT, dtype=np.uint64) * U64(BITS))[None, :]
@@ -351,10 +405,10 @@ def line_classes(scratch: Scratch, docs: DataFrame, min_chars: int = MIN_CHARS,
     """(id, id2, component) of the lines that are linked to a line with another text; id and id2 are their identity, and
     component is the smallest id."""
     texts = pick(docs, "doc_id", "text")
-    keys = texts.select("text").mapInArrow(_bands(min_chars), "id long, band long, s0 long")
-    # one long to sort by, so that Spark sorts by its digits
-    sorted_keys = keys.repartition("band").sortWithinPartitions("band").select("band", "id", "s0")
-    members = scratch.table(sorted_keys.mapInArrow(_walk, "band long, id long, s0 long, first long, prev long"), "members")
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = texts.select("text").mapInArrow(_dealt(parts, _bands(min_chars)), "part int, packed binary")
+    keys = keys.repartition("part").sortWithinPartitions("part")
+    members = scratch.table(keys.mapInArrow(lambda batches: _walk(_opened(batches)), "band long, id long, s0 long, first long, prev long"), "members")
     # lines that agree enough with another one of a bucket
     x, y = members.alias("x"), members.select("band", "id", "s0").alias("y")
     some = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") != F.col("y.id")) & (_agree("x.", "y.") >= AGREE), "left_semi")
