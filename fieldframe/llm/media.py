@@ -5,18 +5,22 @@
 2. Images with equal bytes are one class; only its smallest id goes on.
 3. Hamming tables: each 32-bit word of a descriptor is a key, and so are two runs of 64 bits and one of 192. Rows of
    (key, image, place of the corner) are sorted by key and read as a stream. All images that share a key meet, as long
-   as they are `RARE` at most. What more images share, such as a flat edge or a logo, says little about any two of them:
-   the longer keys divide them, and in a key that is still shared by more each image meets the one before it, so a large
-   family of copies hangs together without its pairs being written out.
+   as they are `RARE` at most. In a key that more images share, such as a flat edge or a logo, each image meets the one
+   before it at first, so a large family of copies hangs together without its pairs being written out; step 7 does the rest.
 4. Two corners that meet say how their images lie to each other (turn, scale, shift). These votes are binned, turn and
    both coordinates each in two overlapping grids, and a pair of images goes on when `MEET` of them agree.
 5. Geometric consensus over all corners of such a pair: corners match when they are within `NEAR` of 256 bits and each
    other's nearest (common patches are within `NEAR` of much that is unrelated; ties all count). Two images are linked
-   when `VOTES` different corners agree and a similarity fitted to them holds.
+   when `VOTES` different corners agree, a similarity fitted to them holds, and the images, shrunk and laid over each
+   other by it, correlate.
 6. Links give components by distributed large-star and small-star steps; the smallest id of each stays.
+7. Of the images that have a key which more than `RARE` share, every two of different components are compared, whatever
+   keys they share: a group of images with another group at a time, all corners with all corners. Most pairs end where no
+   bin of step 5 gets VOTES matches. Its price grows with the square of the number of such images.
 
-Steps 3 to 5 go in rounds (over tables, over pairs by hash), so that what lies on disk at a time stays a few times the
-descriptors. A copy is missed where fewer than MEET of its corners share a rare key with the original in one way.
+Steps 3 to 5 and 7 go in rounds (over tables, over pairs by hash, over tiles), so that what lies on disk at a time stays a
+few times the descriptors. A copy is missed where all keys of one of the two are rare and fewer than MEET of its corners
+share one with the original in one way.
 
 An image is raw 8-bit grey: `image` has height * width bytes.
 
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, components, mix, pick
+from .common import U64, Scratch, components, joined_components, mix, pick
 
 RADIUS = 7
 TESTS = 256
@@ -46,6 +50,12 @@ VOTES = 5
 RARE, MEET = 8, 2
 #: Rounds in which the votes are sorted.
 ROUNDS = 3
+#: Pairs of corners that are compared at a time.
+BLOCK = 1 << 16
+#: Corners of a group of images that is compared with other groups, and how often a round moves each image.
+TILE, SPREAD = 1 << 14, 8
+#: Side of the shrunk image, and how images have to correlate where they overlap.
+SMALL, ALIKE = 40, 0.6
 FIT = 2
 SHARE = 0.15
 _rng = np.random.default_rng(77)
@@ -174,8 +184,8 @@ def _votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id, place) sorted by key and id: pairs (a, b, vote) of the images that share a key, a > b. Between
-    batches only the last key's rows are kept, RARE at most, or one of a key that has had more."""
+    """Of rows (key, id, place) sorted by key and id: pairs (a, b, vote, common) of the images that share a key, a > b;
+    of a common key, one that more than RARE share, only neighbours, which names all of its images for `_rest`. Between batches only the last key's rows are kept, RARE at most, or one of a key that has had more."""
     held = tuple(np.empty(0, np.int64) for _ in range(3))
     many = False  # whether the held row is the last of a key that more than RARE images share
 
@@ -187,7 +197,7 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             later.append(at + d)
             before.append(at)
         i, j = np.concatenate(later), np.concatenate(before)
-        return pa.RecordBatch.from_arrays([pa.array(id_[i]), pa.array(id_[j]), pa.array(_votes(place[i], place[j]))], ["a", "b", "vote"])
+        return pa.RecordBatch.from_arrays([pa.array(id_[i]), pa.array(id_[j]), pa.array(_votes(place[i], place[j])), pa.array(common[i])], ["a", "b", "vote", "common"])
 
     for batch in batches:
         key, id_, place = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "id", "place"), strict=True))
@@ -251,10 +261,11 @@ def _descriptors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stack = np.frombuffer(b"".join(images[k] for k in some), np.uint8).reshape(-1, h, w)
                 i, place, turn, words = describe(stack)
                 which = [np.flatnonzero(i == k) for k in range(len(some))]
+                small = [shrunk(x) for x, at in zip(stack, which, strict=True) if len(at)]
                 which = [(ids[row], at) for row, at in zip(some, which, strict=True) if len(at)]
                 found = np.empty(len(i), CORNER)
                 found["place"], found["turn"], found["word"] = place, turn, np.ascontiguousarray(words).view(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in which], pa.int64()), pa.array([len(at) for _, at in which], pa.int64()), pa.array([found[at].tobytes() for _, at in which], pa.binary())], ["id", "n_corners", "corners"])
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in which], pa.int64()), pa.array([len(at) for _, at in which], pa.int64()), pa.array([found[at].tobytes() for _, at in which], pa.binary()), pa.array(small, pa.binary())], ["id", "n_corners", "corners", "small"])
 
 
 def matches(a: np.ndarray, b: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -290,21 +301,27 @@ def _inside(a: np.ndarray, b: np.ndarray, back: Callable[[np.ndarray], np.ndarra
     return za[keep]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether VOTES different corners of both images say the same about how b lies to a, and a turn, scale and shift
-    fitted to them brings as many to within FIT pixels, a SHARE at least of a's corners where the images overlap. Corners of one
-    6-pixel cell count once."""
-    i, j = matches(a, b)
-    if len(i) < VOTES:
-        return False
-    (ay, ax, sa), (by, bx, sb) = a["place"][i].T, b["place"][j].T
-    degrees = a["turn"][i] - b["turn"][j]
+def _bins(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of corners that match, one of a and one of b each: their places, what the two say of how b lies to a, and the bins
+    of that in two grids."""
+    (ay, ax, sa), (by, bx, sb) = a["place"].T, b["place"].T
+    degrees = a["turn"] - b["turn"]
     za, zb = ax + 1j * ay, bx + 1j * by
     # what the two corners say; where b's origin comes to lie in a
     said = 0.7071 ** (sb - sa) * np.exp(1j * np.radians(degrees))
     at = za - said * zb
-    for o in (0.0, 0.5):
-        bins = np.stack([sb - sa, np.floor(degrees % 360 / 30 + o) % 12, np.floor(at.real / 12 + o), np.floor(at.imag / 12 + o)], 1)
+    return za, zb, said, [np.stack([sb - sa, np.floor(degrees % 360 / 30 + o) % 12, np.floor(at.real / 12 + o), np.floor(at.imag / 12 + o)], 1) for o in (0.0, 0.5)]
+
+
+def _fits(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[complex, complex, complex]]:
+    """How b may lie to a: factor and two places, so that z of b is at factor * (z - second) + first of a. VOTES
+    different corners of both images say so, and a turn, scale and shift fitted to them brings as many to within FIT
+    pixels, a SHARE at least of a's corners where the images overlap. Corners of one 6-pixel cell count once."""
+    i, j = matches(a, b)
+    if len(i) < VOTES:
+        return
+    za, zb, said, grids = _bins(a[i], b[j])
+    for bins in grids:
         _, which, n = np.unique(bins, axis=0, return_inverse=True, return_counts=True)
         for g in np.flatnonzero(n >= VOTES):
             m = which.ravel() == g
@@ -317,15 +334,147 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
             ok = (np.abs(dy - fitted * dx) <= FIT) & (np.abs(fitted / said[m] - 1) <= 0.2)
             agree = min(_cells(x[ok]), _cells(y[ok]))
             if agree >= VOTES and agree >= SHARE * _cells(_inside(a, b, lambda z: (z - y.mean()) / fitted + x.mean())):  # noqa: B023
-                return True
-    return False
+                yield fitted, y.mean(), x.mean()
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the corners of two images agree on how b lies to a."""
+    return any(True for _ in _fits(a, b))
+
+
+def shrunk(image: np.ndarray) -> bytes:
+    """A grey image shrunk by a whole number to about SMALL pixels a side: that number, height, width, pixels."""
+    h, w = image.shape
+    k = max(1, min(-(-max(h, w) // SMALL), min(h, w) // 8))
+    x = image[: h // k * k, : w // k * k].reshape(h // k, k, w // k, k).mean((1, 3))
+    return np.array([k, *x.shape], "<u4").tobytes() + np.rint(x).astype(np.uint8).tobytes()
+
+
+def alike(a: bytes, b: bytes, fit: tuple[complex, complex, complex]) -> bool:
+    """Whether two shrunk images, b laid over a by `fit`, correlate by ALIKE at least where they overlap."""
+    (k, h, w), (m, *shape) = (np.frombuffer(x, "<u4", 3).tolist() for x in (a, b))
+    x, y = np.frombuffer(a, np.uint8, offset=12).reshape(h, w), np.frombuffer(b, np.uint8, offset=12).reshape(shape)
+    rows, cols = np.indices(shape) * m + (m - 1) / 2
+    z = fit[0] * (cols + 1j * rows - fit[2]) + fit[1]
+    r, c = (np.rint((v - (k - 1) / 2) / k) for v in (z.imag, z.real))
+    ok = (r >= 0) & (r < h) & (c >= 0) & (c < w)
+    p, q = x[r[ok].astype(int), c[ok].astype(int)].astype(float), y[ok].astype(float)
+    if not len(p):
+        return False
+    p, q = p - p.mean(), q - q.mean()
+    return bool((p * q).sum() > ALIKE * np.sqrt((p * p).sum() * (q * q).sum()))
+
+
+def copies(a: np.ndarray, b: np.ndarray, x: bytes, y: bytes) -> bool:
+    """Whether two images are linked: by their corners a and b, and as they look, x and y."""
+    return any(alike(x, y, fit) for fit in _fits(a, b))
+
+
+def possible(a: np.ndarray, many: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of several images, whose corners are `many` and begin at `at`, `linked` may link with a: those of which VOTES
+    matches fall into one of its bins. It looks at every corner and loses none that `linked` takes; hashes of bins may
+    only bring more."""
+    ends = np.append(at[1:], len(many))
+    out = (ends - at) * len(a) > BLOCK  # large ones are left to `linked`, which goes by blocks
+    mine = np.ascontiguousarray(a["word"].T)
+    theirs = np.ascontiguousarray(many["word"].T)
+    held = [np.empty(BLOCK, t) for t in (np.uint64, np.uint8, np.uint8)]
+    found, k = [], 0
+    while k < len(at):
+        if out[k]:
+            k += 1
+            continue
+        most = max(at[k] + BLOCK // len(a), ends[k])
+        to = k + int(np.searchsorted(ends[k:], most, "right"))
+        to = k + int(np.argmax(np.append(out[k:to], True)))
+        lo, hi = at[k], ends[to - 1]
+        size = len(a) * (hi - lo)
+        x, some, far = (h[:size].reshape(len(a), hi - lo) for h in held)
+        for w in range(4):
+            np.bitwise_xor(mine[w, :, None], theirs[w, None, lo:hi], out=x)
+            np.bitwise_count(x, out=some if w else far)
+            if w == 3:
+                np.minimum(some, 63, out=some)  # at most 255 in all: where the last 64 bits all differ, it is beyond NEAR
+            if w:
+                far += some
+        i, j = np.divmod(np.flatnonzero(far == np.minimum(far.min(0), NEAR)), hi - lo)
+        least = np.minimum.reduceat(far, at[k:to] - lo, axis=1)
+        which = np.searchsorted(at[k:to] - lo, j, "right") - 1
+        ok = far[i, j] == least[i, which]
+        found.append((i[ok], j[ok] + lo, which[ok] + k))
+        k = to
+    if not found:
+        return out
+    i, j, which = (np.concatenate(x) for x in zip(*found, strict=True))
+    enough = np.bincount(which, minlength=len(at))[which] >= VOTES
+    i, j, which = i[enough], j[enough], which[enough]
+    if len(i):
+        for bins in _bins(a[i], many[j])[-1]:
+            h = np.zeros(len(i), np.uint64)
+            for c in bins.T:
+                h = mix(h * U64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64))
+            h = np.sort((which.astype(np.uint64) << U64(40)) | (h >> U64(24)))
+            out[(h[VOTES - 1 :][h[VOTES - 1 :] == h[: len(h) - VOTES + 1]] >> U64(40)).astype(np.int64)] = True
+    return out
 
 
 def _consensus(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Those of the pairs (a, b) with their corners x and y that are linked."""
+    """Those of the pairs (a, b) with their corners and looks that are linked."""
+    for batch in batches:
+        x, y, u, v = (batch.column(c).to_pylist() for c in ("x", "y", "x_small", "y_small"))
+        yield batch.select(["a", "b"]).filter(pa.array([copies(np.frombuffer(p, CORNER), np.frombuffer(q, CORNER), r, s) for p, q, r, s in zip(x, y, u, v, strict=True)], pa.bool_()))
+
+
+def _tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (tile, side, id, corners, small, part) sorted by tile, side and id: the linked pairs (a, b), a > b, of the two
+    sides of each tile, or of its one, but for those that are of one part already. A tile is held in memory."""
+
+    def pairs(rows: list[tuple]) -> pa.RecordBatch:
+        sides = [[r for r in rows if r[1] == k] for k in (0, 1)]
+        found = []
+        for one, other in ((0, 1), (1, 0)) if sides[1] else ((0, 0),):
+            if not sides[one] or not sides[other]:
+                continue
+            corners = [np.frombuffer(r[3], CORNER) for r in sides[other]]
+            ids, parts = (np.array([r[k] for r in sides[other]]) for k in (2, 5))
+            many, at = np.concatenate(corners), np.concatenate([[0], np.cumsum([len(c) for c in corners])])
+            for _, _, id_, raw, small, part in sides[one]:
+                n = int(np.searchsorted(ids, id_))  # those with smaller ids
+                if n and (parts[:n] != part).any():
+                    a = np.frombuffer(raw, CORNER)
+                    for k in np.flatnonzero(possible(a, many[: at[n]], at[:n]) & (parts[:n] != part)):
+                        if copies(a, corners[k], small, sides[other][k][4]):
+                            found.append((id_, int(ids[k])))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    held: list[tuple] = []
     for batch in batches:
-        x, y = (batch.column(c).to_pylist() for c in "xy")
-        yield batch.select(["a", "b"]).filter(pa.array([linked(np.frombuffer(p, CORNER), np.frombuffer(q, CORNER)) for p, q in zip(x, y, strict=True)], pa.bool_()))
+        for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "id", "corners", "small", "part")), strict=True):
+            if held and held[0][0] != row[0]:
+                yield pairs(held)
+                held = []
+            held.append(row)
+    if held:
+        yield pairs(held)
+
+
+def _rest(scratch: Scratch, images: DataFrame) -> DataFrame:
+    """Linked pairs (a, b) of different parts among all of images(id, n_corners, corners, small, part). Images are dealt to
+    groups of about TILE corners; every two groups are a tile."""
+    size = images.agg(F.count("*"), F.sum("n_corners")).first()
+    n = max(-(-(size[1] or 0) // TILE), min(12, -(-size[0] // 16)), 1)
+    rounds = -(-n // SPREAD)
+    group = F.pmod(F.xxhash64("id"), F.lit(n))
+    here = lambda k: lambda t: t % rounds == k
+    dealt, links = images.withColumn("g", group), None
+    for k in range(rounds):
+        first = F.transform(F.sequence(F.lit(0), F.col("g").cast("long")), lambda h: F.col("g") * n + h)
+        second = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1)), lambda h: F.when(h > F.col("g"), h * n + F.col("g")).otherwise(-1))
+        sides = [dealt.select(F.explode(F.filter(tiles, lambda t: (t >= 0) & here(k)(t))).alias("tile"), F.lit(s).alias("side"), "id", "corners", "small", "part") for s, tiles in enumerate((first, second))]
+        tiles = sides[0].unionAll(sides[1]).repartition(max(1, n * (n + 1) // 2 // rounds), "tile").sortWithinPartitions("tile", "side", "id")
+        some = scratch.table(tiles.mapInArrow(_tiles, "a long, b long"), f"rest{k}")
+        links = some if links is None else links.unionAll(some)
+    return links
 
 
 def _round(n: int, k: int) -> Column:
@@ -341,13 +490,16 @@ def image_copies(images: DataFrame) -> DataFrame:
     hashed = some.select("id", F.sha2(F.concat_ws(":", F.col("height"), F.col("width"), F.base64("image")), 256).alias("content"))
     same = scratch.table(hashed.groupBy("content").agg(F.min("id").alias("rep")), "classes")
     reps = some.join(same.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    found = scratch.table(reps.mapInArrow(_descriptors, "id long, n_corners long, corners binary"), "descriptors", compression="zstd")
+    found = scratch.table(reps.mapInArrow(_descriptors, "id long, n_corners long, corners binary, small binary"), "descriptors", compression="zstd")
 
     met = None
     for k, tables in enumerate(TABLES):
         keys = found.select("id", "corners").mapInArrow(_key_rows(tables), "key long, id long, place long")
-        some = scratch.table(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "a long, b long, vote long"), f"met{k}", compression="zstd")
+        some = scratch.table(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "a long, b long, vote long, common boolean"), f"met{k}", compression="zstd")
         met = some if met is None else met.unionAll(some)
+    common = met.where("common").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    common = scratch.table(common, "common")
+    met = met.select("a", "b", "vote")
     pairs = None
     for k in range(ROUNDS):
         agreed = met.where(_round(ROUNDS, k)).repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_agreed, "a long, b long")
@@ -356,14 +508,20 @@ def image_copies(images: DataFrame) -> DataFrame:
     scratch.drop(*[f"met{k}" for k in range(len(TABLES))])
     # a round moves two images' corners for each pair: as many pairs as make about half of all images' corners
     rounds = max(1, -(-4 * pairs.count() // max(1, found.count())))
-    corners = found.select("id", "corners")
     links = None
     for k in range(rounds):
-        both = pairs.where(_round(rounds, k)).join(corners.select(F.col("id").alias("a"), F.col("corners").alias("x")).hint("merge"), "a")
-        both = both.join(corners.select(F.col("id").alias("b"), F.col("corners").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+        both = pairs.where(_round(rounds, k)).join(found.select(F.col("id").alias("a"), F.col("corners").alias("x"), F.col("small").alias("x_small")).hint("merge"), "a")
+        both = both.join(found.select(F.col("id").alias("b"), F.col("corners").alias("y"), F.col("small").alias("y_small")).hint("merge"), "b").select("a", "b", "x", "y", "x_small", "y_small")
         some = scratch.table(both.mapInArrow(_consensus, "a long, b long"), f"links{k}")
         links = some if links is None else links.unionAll(some)
     labels = components(scratch, links)
+    if not common.isEmpty():
+        labels = scratch.table(labels, "labels")
+        rest = found.join(common.hint("merge"), "id", "left_semi").join(labels.hint("merge"), "id", "left")
+        rest = scratch.table(rest.select("id", "n_corners", "corners", "small", F.coalesce("component", "id").alias("part")), "rest", compression="zstd")
+        more = _rest(scratch, rest)
+        if not more.isEmpty():
+            labels = scratch.table(joined_components(scratch, labels, more, "more"), "labels2")
 
     counts = found.select(F.col("id").alias("rep"), "n_corners")
     parts = same.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").join(counts.hint("merge"), "rep", "left")
