@@ -301,8 +301,11 @@ def similar(x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
     themselves are compared: characters are numbered, so that SHINGLE of them and the pair's number fill a word."""
     n = len(x)
     (a, a_offs), (b, b_offs) = _characters(x), _characters(y)
-    ranks, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    bits = max(1, int(len(ranks) - 1).bit_length())
+    both = np.concatenate([a, b])
+    rank = np.zeros(int(both.max()) + 1 if len(both) else 1, np.uint64)  # by code point
+    rank[both] = 1
+    np.cumsum(rank, out=rank)
+    bits = max(1, (int(rank[-1]) - 1).bit_length())
     if bits * SHINGLE + n.bit_length() > 64:
         if n > 1:
             return np.concatenate([similar(x[: n // 2], y[: n // 2], percent), similar(x[n // 2 :], y[n // 2 :], percent)])
@@ -320,7 +323,7 @@ def similar(x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
         keys = np.sort((row[inside] << U64(bits * SHINGLE)) | value[inside])
         return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
-    codes = codes.astype(np.uint64)
+    codes = (rank - U64(1))[both]
     x_set, y_set = distinct(codes[: len(a)], a_offs), distinct(codes[len(a) :], b_offs)
     both = np.sort(np.concatenate([x_set, y_set]))
     count = lambda keys: np.bincount((keys >> U64(bits * SHINGLE)).astype(np.int64), minlength=n)
@@ -487,5 +490,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, percent: int = PERC
     joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_own")), "left")
     left = F.coalesce(_without(F.when(F.col("_gone").isNotNull(), docs["text"]), "_gone"), docs["text"])
     text = F.coalesce(docs["text"], F.lit(""))
-    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return joined.select(*[left.alias(c) if c == "text" else docs[c] for c in docs.columns], n_lines.alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("_n_dropped"))

@@ -25,3 +25,16 @@ def test_packed_band_rows_are_opened_whole(monkeypatch):
         assert all(b == sorted(b) for b in bands)
         assert sum(len(set(b)) for b in bands) == len({r[0] for r in rows})
     assert list(line_dedup._opened(iter([]))) == list(line_dedup._dealt(7, iter)([])) == []
+
+
+def test_similar_sorts_no_characters(monkeypatch):
+    """Characters are numbered by a table, from the first to the last code point, not by sorting all of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldframe.llm import line_dedup
+
+    monkeypatch.setattr(np, "unique", None)
+    x = ["\x00abcdefghij\U0010ffff", "ABCDEFGHIJ", "abcdefghij"]
+    y = ["\x00abcdefghij\U0010ffff", "abcdefghij", "zyxwvutsrq"]
+    assert line_dedup.similar(pa.array(x), pa.array(y), 80).tolist() == [True, True, False]
