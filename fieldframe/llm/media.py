@@ -16,7 +16,8 @@
 6. Links give components by distributed large-star and small-star steps; the smallest id of each stays.
 7. Of the images that have a key which more than `RARE` share, every two of different components are compared, whatever
    keys they share: a group of images with another group at a time, all corners with all corners. Most pairs end where no
-   bin of step 5 gets VOTES matches. Its price grows with the square of the number of such images.
+   bin of step 5 gets VOTES matches, by distances that are products of matrices. Its price grows with the square of the
+   number of such images.
 
 Steps 3 to 5 and 7 go in rounds (over tables, over pairs by hash, over tiles), so that what lies on disk at a time stays a
 few times the descriptors. A copy is missed where all keys of one of the two are rare and fewer than MEET of its corners
@@ -52,6 +53,8 @@ RARE, MEET = 8, 2
 ROUNDS = 3
 #: Pairs of corners that are compared at a time.
 BLOCK = 1 << 16
+#: Corners that are compared with each other at a time in the exact pass, and of the largest image there.
+COLUMNS, ROWS, LARGE = 3072, 512, 4096
 #: Corners of a group of images that is compared with other groups, and how often a round moves each image.
 TILE, SPREAD = 1 << 14, 8
 #: Side of the shrunk image, and how images have to correlate where they overlap.
@@ -370,54 +373,113 @@ def copies(a: np.ndarray, b: np.ndarray, x: bytes, y: bytes) -> bool:
     return any(alike(x, y, fit) for fit in _fits(a, b))
 
 
-def possible(a: np.ndarray, many: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of several images, whose corners are `many` and begin at `at`, `linked` may link with a: those of which VOTES
-    matches fall into one of its bins. It looks at every corner and loses none that `linked` takes; hashes of bins may
-    only bring more."""
-    ends = np.append(at[1:], len(many))
-    out = (ends - at) * len(a) > BLOCK  # large ones are left to `linked`, which goes by blocks
-    mine = np.ascontiguousarray(a["word"].T)
-    theirs = np.ascontiguousarray(many["word"].T)
-    held = [np.empty(BLOCK, t) for t in (np.uint64, np.uint8, np.uint8)]
-    found, k = [], 0
-    while k < len(at):
-        if out[k]:
-            k += 1
-            continue
-        most = max(at[k] + BLOCK // len(a), ends[k])
-        to = k + int(np.searchsorted(ends[k:], most, "right"))
-        to = k + int(np.argmax(np.append(out[k:to], True)))
-        lo, hi = at[k], ends[to - 1]
-        size = len(a) * (hi - lo)
-        x, some, far = (h[:size].reshape(len(a), hi - lo) for h in held)
-        for w in range(4):
-            np.bitwise_xor(mine[w, :, None], theirs[w, None, lo:hi], out=x)
-            np.bitwise_count(x, out=some if w else far)
-            if w == 3:
-                np.minimum(some, 63, out=some)  # at most 255 in all: where the last 64 bits all differ, it is beyond NEAR
-            if w:
-                far += some
-        i, j = np.divmod(np.flatnonzero(far == np.minimum(far.min(0), NEAR)), hi - lo)
-        least = np.minimum.reduceat(far, at[k:to] - lo, axis=1)
-        which = np.searchsorted(at[k:to] - lo, j, "right") - 1
-        ok = far[i, j] == least[i, which]
-        found.append((i[ok], j[ok] + lo, which[ok] + k))
-        k = to
-    if not found:
-        return out
-    i, j, which = (np.concatenate(x) for x in zip(*found, strict=True))
-    enough = np.bincount(which, minlength=len(at))[which] >= VOTES
-    i, j, which = i[enough], j[enough], which[enough]
-    if len(i):
-        for bins in _bins(a[i], many[j])[-1]:
-            h = np.zeros(len(i), np.uint64)
-            for c in bins.T:
-                h = mix(h * U64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64))
-            h = np.sort((which.astype(np.uint64) << U64(40)) | (h >> U64(24)))
-            out[(h[VOTES - 1 :][h[VOTES - 1 :] == h[: len(h) - VOTES + 1]] >> U64(40)).astype(np.int64)] = True
+def _bits(word: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(word).view(np.uint8).reshape(-1, TESTS // 8), axis=1)
+
+
+def _threes(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Descriptors, three in the row of a matrix as bytes of one number, and their last bits. `_signs` has the other factor:
+    byte f of a product is the number of equal bits, without the last, of f's descriptor. With bits 0 and 1 on one side
+    and -1 and 1 on the other, and the other's zeros as one more column, every partial sum of a byte is within -255 and
+    255, so that no sum is beyond 2^24 and single floats are exact."""
+    m = -(-len(word) // 24) * 8
+    bits = np.zeros((3 * m, TESTS), np.uint8)
+    bits[: len(word)] = _bits(word)
+    last = bits[:, -1].copy()
+    bits[:, -1] = 1
+    bits[len(word) :] = 0
+    x = bits.reshape(3, m, TESTS).astype(np.float32)
+    return x[0] + 256 * x[1] + 65536 * x[2], last
+
+
+def _signs(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bits = _bits(word)
+    x = bits.astype(np.float32) * 2 - 1
+    x[:, -1] = TESTS - 1 - bits[:, :-1].sum(1, dtype=np.int64)
+    return x, bits[:, -1].copy()
+
+
+def _runs(sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Images in groups of about `most` corners; those with more than LARGE, or none, are in no group."""
+    at = np.flatnonzero((sizes > 0) & (sizes <= LARGE))
+    ends = np.cumsum(sizes[at])
+    return np.split(at, np.flatnonzero(np.diff((ends - sizes[at]) // most)) + 1) if len(at) else []
+
+
+def possible_pairs(xs: list[np.ndarray], ys: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Which pairs of two lists of images, by their corners, `linked` may link: those of which VOTES matches fall into one
+    of its bins. wanted (xs x ys): 0 for a pair that is left out, 1 where `linked` would be asked for (x, y), -1 for (y, x).
+    It looks at every corner and loses none that `linked` takes; hashes of bins may only bring more. Distances are
+    products of matrices, three in a number."""
+    sizes = [np.array([len(c) for c in side]) for side in (xs, ys)]
+    # large ones are left to `linked`, which goes by blocks
+    out = (wanted != 0) & ((sizes[0][:, None] * sizes[1] > BLOCK) | (sizes[0][:, None] > LARGE) | (sizes[1] > LARGE))
+    wanted = np.where(out, 0, wanted)
+    left = []
+    for at in _runs(sizes[0], COLUMNS):
+        c = np.concatenate([xs[k] for k in at])
+        left.append((at, c[["place", "turn"]], *_threes(c["word"])))
+    downs = _runs(sizes[1], ROWS)
+    size = max([0, *(sizes[1][d].sum() for d in downs)]) * max([0, *(len(t) for _, _, t, _ in left)])
+    held = [np.empty(size * w, t) for w, t in ((1, np.float32), (1, np.int32), (3, np.uint8), (3, np.uint8), (3, bool))]
+    for down in downs:
+        theirs = np.concatenate([ys[k] for k in down])
+        signs, last = _signs(theirs["word"])
+        theirs = theirs[["place", "turn"]]
+        n = sizes[1][down]
+        first = np.cumsum(n) - n
+        row_image = np.repeat(np.arange(len(down)), n)
+        for across, mine, threes, last_x in left:
+            want = wanted[np.ix_(across, down)]
+            if not want.any():
+                continue
+            m = len(threes)
+            sums, whole, near, last_bit, hit = (h[: len(theirs) * w].reshape(len(theirs), w) for h, w in zip(held, (m, m, 3 * m, 3 * m, 3 * m), strict=True))
+            np.matmul(signs, threes.T, out=sums)
+            np.copyto(whole, sums, casting="unsafe")
+            for f in range(3):
+                near[:, f * m : (f + 1) * m] = whole.view(np.uint8).reshape(len(theirs), m, 4)[:, :, f]
+            np.bitwise_xor(last[:, None], last_x, out=last_bit)
+            near -= np.minimum(near, last_bit, out=last_bit)  # nothing is below none: 256 differing bits count as 255
+            best = np.empty(3 * m, np.uint8)
+            for k, a in enumerate(first):  # reduceat is slow along this axis
+                np.max(near[a : a + n[k]], axis=0, out=best, initial=TESTS - 1 - NEAR)
+                np.equal(near[a : a + n[k]], best, out=hit[a : a + n[k]])
+            eight = hit.ravel().view(np.uint64)
+            word = np.flatnonzero(eight)
+            byte = np.flatnonzero(eight[word].view(bool))
+            j, i = np.divmod(word[byte >> 3] * 8 + (byte & 7), 3 * m)
+            size = sizes[0][across]
+            column_image = np.repeat(np.arange(len(across)), size)
+            most = np.maximum.reduceat(near[:, : len(mine)], np.cumsum(size) - size, axis=1)
+            x, y = column_image[i], row_image[j]
+            ok = near[j, i] == most[j, x]
+            i, j, x, y = i[ok], j[ok], x[ok], y[ok]
+            pair = x * len(down) + y
+            turned = want.ravel()[pair]
+            ok = (turned != 0) & (np.bincount(pair, minlength=want.size)[pair] >= VOTES)
+            if not ok.any():
+                continue
+            i, j, pair, turned = i[ok], j[ok], pair[ok], turned[ok]
+            both = np.concatenate([mine, theirs])
+            j += len(mine)
+            bins = _bins(both[np.where(turned > 0, i, j)], both[np.where(turned > 0, j, i)])[-1]
+            found = np.zeros(want.size, bool)
+            for cells in bins:
+                h = np.zeros(len(i), np.uint64)
+                for c in cells.T:
+                    h = mix(h * U64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64))
+                h = np.sort((pair.astype(np.uint64) << U64(40)) | (h >> U64(24)))
+                found[(h[VOTES - 1 :][h[VOTES - 1 :] == h[: len(h) - VOTES + 1]] >> U64(40)).astype(np.int64)] = True
+            out[np.ix_(across, down)] |= found.reshape(want.shape)
     return out
 
 
+def possible(a: np.ndarray, many: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of several images, whose corners are `many` and begin at `at`, `linked` may link with a."""
+    return possible_pairs([a], np.split(many, at[1:]), np.ones((1, len(at)), np.int8))[0]
+
+
 def _consensus(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Those of the pairs (a, b) with their corners and looks that are linked."""
     for batch in batches:
@@ -430,21 +492,18 @@ def _tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sides of each tile, or of its one, but for those that are of one part already. A tile is held in memory."""
 
     def pairs(rows: list[tuple]) -> pa.RecordBatch:
-        sides = [[r for r in rows if r[1] == k] for k in (0, 1)]
+        sides = [side for k in (0, 1) if (side := [r for r in rows if r[1] == k])]
+        one, other = sides[0], sides[-1]
+        x, y = ([np.frombuffer(r[3], CORNER) for r in side] for side in (one, other))
+        (ids, other_ids), (parts, other_parts) = ([np.array([r[k] for r in side]) for side in (one, other)] for k in (2, 5))
+        later = (ids[:, None] > other_ids).astype(np.int8) - (ids[:, None] < other_ids)
+        if len(sides) == 1:
+            later = np.maximum(later, 0) if rows[0][1] == 0 else later * 0
         found = []
-        for one, other in ((0, 1), (1, 0)) if sides[1] else ((0, 0),):
-            if not sides[one] or not sides[other]:
-                continue
-            corners = [np.frombuffer(r[3], CORNER) for r in sides[other]]
-            ids, parts = (np.array([r[k] for r in sides[other]]) for k in (2, 5))
-            many, at = np.concatenate(corners), np.concatenate([[0], np.cumsum([len(c) for c in corners])])
-            for _, _, id_, raw, small, part in sides[one]:
-                n = int(np.searchsorted(ids, id_))  # those with smaller ids
-                if n and (parts[:n] != part).any():
-                    a = np.frombuffer(raw, CORNER)
-                    for k in np.flatnonzero(possible(a, many[: at[n]], at[:n]) & (parts[:n] != part)):
-                        if copies(a, corners[k], small, sides[other][k][4]):
-                            found.append((id_, int(ids[k])))
+        for i, j in np.argwhere(possible_pairs(x, y, later * (parts[:, None] != other_parts))):
+            (q, b, v), (p, a, u) = sorted([(one[i][2], x[i], one[i][4]), (other[j][2], y[j], other[j][4])], key=lambda r: r[0])
+            if copies(a, b, u, v):
+                found.append((p, q))
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     held: list[tuple] = []
